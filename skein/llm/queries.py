@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import decontaminate, jaccard, mixing, quality, sharding
+from . import decontaminate, jaccard, licenses, mixing, pii, quality, sharding, warc
 
 QUERIES = {
+    "op1_license_scan": licenses.op1_license_scan,
     "op2_sharding": sharding.op2_sharding,
+    "op3_pii": pii.op3_pii,
+    "op4_warc": warc.op4_warc,
     "op6_quality_rules": quality.op6_quality,
     "op8_mixing": mixing.op8_mixing,
     "op9_ngram_jaccard": jaccard.op9_ngram_jaccard,
