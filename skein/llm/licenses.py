@@ -181,9 +181,10 @@ def find(docs: DataFrame) -> DataFrame:
         automaton = _automaton()
         names = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "permissive"]
         for frame in frames:
-            out = pd.DataFrame([scan(t, automaton) for t in frame["text"]], columns=names)
+            out = pd.DataFrame([scan(t, automaton) for t in frame["text"]], columns=names, dtype=object)
             for c in names[:4]:
                 out[c] = out[c].astype("Int64")
+            out["score"] = out["score"].astype(float)
             out["permissive"] = out["permissive"].astype("boolean")
             out.insert(0, "doc_id", frame["doc_id"].astype("Int64").reset_index(drop=True))
             yield out

@@ -117,7 +117,7 @@ def extract(docs: DataFrame) -> DataFrame:
                 said = written(spans)
                 counts = [sum(k == kind for k, _, _ in spans) for kind in KINDS]
                 rows.append((key, doc_id, *counts, hashlib.sha256(said.encode()).hexdigest(), said, [{"s": a, "e": b, "p": p, "i": i, "seed": x} for a, b, p, i, x in instances(text or "", spans)]))
-            yield pd.DataFrame(rows, columns=[KEY, "doc_id", *[f"n_{k}" for k in KINDS], "base_sha256", "base", "found"]).astype({"doc_id": "Int64"})
+            yield pd.DataFrame(rows, columns=[KEY, "doc_id", *[f"n_{k}" for k in KINDS], "base_sha256", "base", "found"], dtype=object).astype({KEY: "int64", "doc_id": "Int64"} | {f"n_{k}": "int64" for k in KINDS})
 
     counts = ", ".join(f"n_{k} long" for k in KINDS)
     return stage(docs.select(KEY, "doc_id", "text").mapInPandas(run, f"{KEY} long, doc_id long, {counts}, base_sha256 string, base string, found array<struct<s:int,e:int,p:long,i:long,seed:boolean>>"), "spans")

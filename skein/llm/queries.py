@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import decontaminate, jaccard, licenses, mixing, pii, quality, sharding, warc
+from . import decontaminate, jaccard, licenses, lm, mixing, pii, quality, sharding, warc
 
 QUERIES = {
     "op1_license_scan": licenses.op1_license_scan,
@@ -12,6 +12,7 @@ QUERIES = {
     "op3_pii": pii.op3_pii,
     "op4_warc": warc.op4_warc,
     "op6_quality_rules": quality.op6_quality,
+    "op7_lm_scoring": lm.op7_lm_scoring,
     "op8_mixing": mixing.op8_mixing,
     "op9_ngram_jaccard": jaccard.op9_ngram_jaccard,
     "op10_decontamination": decontaminate.op10_decontamination,

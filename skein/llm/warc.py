@@ -114,7 +114,7 @@ def read(spark, path: str) -> DataFrame:
                     kind, body = head[b"WARC-Type"].decode(), block.partition(b"\r\n\r\n")[2]
                     new = kind == "response"
                     rows.append((head[b"WARC-Record-ID"].decode(), int(head[b"X-Page-ID"]) if head[b"X-Page-ID"] else None, kind, base64.b32encode(hashlib.sha1(body).digest()).decode() if new else head[b"WARC-Payload-Digest"].decode()[5:], len(body) if new else None, None if new else head[b"WARC-Refers-To"].decode(), int(head[b"X-Refers-To-Page"]) if head.get(b"X-Refers-To-Page") else None))
-            yield pd.DataFrame(rows, columns=["record_id", "page_id", "record_type", "payload_digest", "payload_bytes", "refers", "refers_to"]).astype({"page_id": "Int64", "payload_bytes": "Int64", "refers_to": "Int64"})
+            yield pd.DataFrame(rows, columns=["record_id", "page_id", "record_type", "payload_digest", "payload_bytes", "refers", "refers_to"], dtype=object).astype({"page_id": "Int64", "payload_bytes": "Int64", "refers_to": "Int64"})
 
     pieces = spark.read.option("lineSep", END).text(path).select(F.input_file_name().alias("path"), "value")
     return pieces.mapInPandas(run, "record_id string, page_id long, record_type string, payload_digest string, payload_bytes long, refers string, refers_to long")
