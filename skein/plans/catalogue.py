@@ -1,6 +1,412 @@
-"""The queries over the retrieval engine and their SQL."""
+"""The queries over the retrieval engine and their SQL.
+
+Bindings: documents are chunks (lang is the type, source the file name, 1990 + doc_id % 35 the year); all benchmark
+items are questions; embeddings are vectors, those with an id below 10 the stated dense queries; an assistant turn is an
+answer to the user turn before it, and the other turns of its conversation are its hits.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..functions import metadata as M
+from ..functions import text as T
+from ..operators import catalog, citations, confidence, dense, fusion, images, rerank, sparse, validation, variants
+
+STOP = ("the", "of", "and", "to", "in", "is", "de", "la", "der", "die")
+BOOST = ("was", "are", "und", "que", "with")
+PRIORITY, NEGATIVE = ("er ", "tion", "que", "with", "und "), ("###", "&&&")
+HEDGES, UNSURE, ANCHORS = ("an", "on the", "est"), ("tion of", "de la"), ("the ", "and ")
+TYPES = {"alpha": (r"the ", r"and ", r"ing "), "beta": (r"der ", r"und ", r"die "), "gamma": (r"que ", r" la ", r"les ")}
+CLASHES = ((r"\bis\b", r"\bare\b"), (r"\bthe\b", r"\bwas\b"), (r"\bund\b", r"\bist\b"))
+K = 8
+
+
+def t(spark, d, name):
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def _docs(spark, d):
+    year = (1990 + F.col("doc_id") % 35).cast("int")
+    return t(spark, d, "documents").select("doc_id", "text", F.col("lang").alias("document_type"), F.col("source").alias("filename"), year.alias("year"))
+
+
+# ---- SQL pieces: equal in meaning to functions/text.py ----
+def q(*xs):
+    return ", ".join("'" + x.replace("'", "''") + "'" for x in xs)
+
+
+def tokens_sql(col, stop=STOP):
+    low = f"regexp_replace(regexp_replace(lower({col}), '[^\\x00-\\x7F\\P{{L}}]', '_', 'g'), '[^\\x00-\\x7F\\P{{N}}]', '_', 'g')"
+    return f"list_filter(regexp_extract_all({low}, '\\b[a-z][a-z0-9\\-]{{1,}}\\b'), lambda x: x NOT IN ({q(*stop)}))"
+
+
+def terms_sql(col):
+    return f"list_distinct(regexp_extract_all(lower({col}), '[\\p{{L}}\\p{{N}}_]{{4,}}'))"
+
+
+def hits_sql(col, phrases):
+    return "(" + " + ".join(f"contains({col}, {q(p)})::INT" for p in phrases) + ")"
+
+
+COUNTS = lambda tab, i: f"(SELECT {i}, token, count(*) tf, any_value(dl) dl FROM (SELECT {i}, unnest(tk) token, len(tk) dl FROM (SELECT {i}, {tokens_sql('text')} tk FROM {tab})) GROUP BY 1, 2)"
+BM25 = f"""counts AS {COUNTS('documents', 'doc_id')}, stats AS (SELECT count(*)::DOUBLE n, sum(len({tokens_sql('text')}))::DOUBLE / count(*) avgdl FROM documents),
+terms AS (SELECT token, count(*) df, ln((n - count(*) + 0.5) / (count(*) + 0.5) + 1) idf FROM counts, stats GROUP BY token, n),
+dw AS (SELECT doc_id, c.token, idf * (tf * 2.5) / (tf + 1.5 * (0.25 + 0.75 * dl / greatest(avgdl, 1.0))) * CASE WHEN c.token IN ({q(*BOOST)}) THEN 1.5 ELSE 1 END w FROM counts c JOIN terms USING (token), stats),
+qc AS {COUNTS('benchmark', 'item_id')},
+qw AS (SELECT item_id, c.token, idf * (tf * 2.5) / (tf + 1.5 * (0.25 + 0.75 * dl / greatest(avgdl, 1.0))) * CASE WHEN c.token IN ({q(*BOOST)}) THEN 1.5 ELSE 1 END w FROM qc c JOIN terms USING (token), stats),
+sp AS (SELECT item_id, doc_id, round(sum(qw.w * dw.w), 10) score FROM qw JOIN dw USING (token) GROUP BY 1, 2),
+spk AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) rank FROM sp QUALIFY rank <= {2 * K})"""
+DENSE = """dn AS (SELECT a.vec_id query_id, b.vec_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) score FROM embeddings a, embeddings b WHERE a.vec_id < 10),
+dnk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) rank FROM dn WHERE score >= 0.3 QUALIFY rank <= 16)"""
+RRF = f"""{BM25}, {DENSE}, lists AS (SELECT query_id qid, 0 list_no, rank, vec_id chunk_id FROM dnk UNION ALL SELECT item_id, 1, rank, doc_id FROM spk),
+fused AS (SELECT qid, chunk_id, round(sum(1.0::DOUBLE / (60 + rank)), 12) rrf, min(list_no * 1000 + rank) f FROM lists GROUP BY 1, 2),
+top AS (SELECT qid, chunk_id, round(rrf * 100, 4) score, row_number() OVER (PARTITION BY qid ORDER BY rrf DESC, f, chunk_id) rank FROM fused QUALIFY rank <= {2 * K})"""
+
+
+def _bm25(spark, d):
+    docs = _docs(spark, d)
+    counts = sparse.token_counts(docs, "doc_id", stopwords=STOP)
+    terms, stats = sparse.fit(docs, "doc_id", stopwords=STOP)
+    return counts, terms, stats
+
+
+def bm25_fit(spark, d):
+    return _bm25(spark, d)[1].select("token", "df", F.round("idf", 6).alias("idf"))
+
+
+def bm25_encode(spark, d):
+    c, terms, stats = _bm25(spark, d)
+    return sparse.encode(c, terms, stats, BOOST).select("doc_id", "token", "tf", F.round("w", 6).alias("w"))
+
+
+def tokenize_counts(spark, d):
+    toks = T.bm25_tokens(F.col("text"), STOP)
+    return t(spark, d, "documents").select("doc_id", F.size(toks).cast("long").alias("n_tokens"), F.size(F.array_distinct(toks)).cast("long").alias("n_distinct"))
+
+
+def bm25_fallback(spark, d):
+    return sparse.fallback(t(spark, d, "documents"), "doc_id", stopwords=STOP).select("doc_id", "token", F.round("w", 9).alias("w"))
+
+
+def incremental_vocab(spark, d):
+    docs = t(spark, d, "documents")
+    terms, _ = sparse.fit(docs.where("doc_id < 100"), "doc_id", stopwords=STOP)
+    grown = sparse.update(terms, docs.where("doc_id >= 100"), stopwords=STOP)
+    return grown.select("token", F.round(F.coalesce("idf", F.lit(0.5)), 6).alias("idf"))
+
+
+def _sparse_lists(spark, d, k=2 * K):
+    c, terms, stats = _bm25(spark, d)
+    queries = sparse.encode(sparse.token_counts(t(spark, d, "benchmark"), "item_id", stopwords=STOP), terms, stats, BOOST)
+    return sparse.search(queries, sparse.encode(c, terms, stats, BOOST), "item_id", "doc_id", k)
+
+
+def sparse_topk(spark, d):
+    return _sparse_lists(spark, d).select("item_id", "doc_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+def _dense_lists(spark, d, corpus_filter=None):
+    e = t(spark, d, "embeddings")
+    corpus = e.select("vec_id", F.col("embedding").alias("v"), "label")
+    corpus = corpus.where(corpus_filter) if corpus_filter is not None else corpus
+    queries = e.where("vec_id < 10").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    return dense.search(queries, corpus, "query_id", "vec_id", 2 * K)
+
+
+def dense_topk(spark, d):
+    return _dense_lists(spark, d).withColumn("rank", F.col("rank").cast("long"))
+
+
+def dense_topk_filtered(spark, d):
+    return _dense_lists(spark, d, F.col("label") <= 4).withColumn("rank", F.col("rank").cast("long"))
+
+
+def filter_predicate(spark, d):
+    return _docs(spark, d).where(dense.build_filter(document_type="en", year_from=2000, year_to=2010)).select("doc_id", "document_type", "year")
+
+
+def _hits(spark, d):
+    sp = _sparse_lists(spark, d).select(F.col("item_id").alias("qid"), F.lit(1).alias("list_no"), "rank", F.col("doc_id").alias("chunk_id"))
+    dn = _dense_lists(spark, d).select(F.col("query_id").alias("qid"), F.lit(0).alias("list_no"), "rank", F.col("vec_id").alias("chunk_id"))
+    return fusion.fused_top(dn.union(sp), K)
+
+
+def rrf_fusion(spark, d):
+    return _hits(spark, d).select("qid", "chunk_id", "score", F.col("rank").cast("long").alias("rank"))
+
+
+def hybrid_retrieve(spark, d):
+    """Both searches, fused, compressed and limited, with the documents' columns joined back to the few rows left."""
+    top = fusion.limit(fusion.compress(_hits(spark, d)), K)
+    return top.join(_docs(spark, d), F.col("chunk_id") == F.col("doc_id")).select("qid", "chunk_id", "score", F.col("rank").cast("long").alias("rank"), "document_type", "filename")
+
+
+def compress_context(spark, d):
+    return fusion.compress(_hits(spark, d)).select("qid", "chunk_id", "score", F.col("rank").cast("long").alias("rank"))
+
+
+def final_limit(spark, d):
+    return fusion.limit(_hits(spark, d), 5).select("qid", "chunk_id", F.col("rank").cast("long").alias("rank"))
+
+
+def parent_expand(spark, d):
+    hits = _hits(spark, d).withColumn("parent_chunk_id", F.when(F.col("chunk_id") % 5 != 0, F.col("chunk_id") % 40))
+    parents = spark.range(0, 40, 1, 1).where("id % 7 <> 3").select(F.col("id").alias("parent_chunk_id"))
+    return fusion.expand_to_parents(hits, parents, 3, K).select("qid", "chunk_id", "score", "is_parent", F.col("rank").cast("long").alias("rank"))
+
+
+def query_variants_parse(spark, d):
+    qs = t(spark, d, "documents").select(F.col("doc_id").alias("qid"), F.concat(F.lit("question "), F.col("doc_id")).alias("question"), F.col("text").alias("raw_variants"))
+    return variants.expand(qs).select("qid", F.col("variant_no").cast("long").alias("variant_no"), "text")
+
+
+def _scored(spark, d):
+    b = t(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("question"))
+    docs = _docs(spark, d).withColumnRenamed("filename", "section")
+    return _hits(spark, d).join(docs, F.col("chunk_id") == F.col("doc_id")).join(b, "qid")
+
+
+LEX = {"priority": PRIORITY, "negative": NEGATIVE, "sections": ("src1", "src2", "src3"), "types": ("en", "fr")}
+
+
+def medical_score(spark, d):
+    s = rerank.domain_score(F.col("text"), F.col("question"), F.col("section"), F.col("document_type"), **LEX)
+    return _scored(spark, d).select("qid", "chunk_id", s.alias("domain_score"))
+
+
+def rerank_fused(spark, d):
+    scored = _scored(spark, d).withColumns({"bge": (F.col("chunk_id") % 97) / 97.0, "ce": (F.col("chunk_id") % 89) / 89.0})
+    return rerank.rerank(scored, 5, "bge", "ce", **LEX).select("qid", "chunk_id", "rerank_score", F.col("rank").cast("long").alias("rank"))
+
+
+def _turns(spark, d):
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    c = t(spark, d, "conversations")
+    qa = c.where("role <> 'system'").withColumns({"before": F.lag("role").over(w), "question": F.lag("text").over(w)}).where("role = 'assistant' and before = 'user'")
+    qa = qa.select((F.col("conv_id") * 1000 + F.col("turn")).alias("qid"), "conv_id", F.col("turn").alias("at"), F.col("text").alias("answer"), "question")
+    h = c.join(qa.select("qid", "conv_id", "at"), "conv_id").where("turn <> at")
+    r = F.row_number().over(Window.partitionBy("qid").orderBy("turn", "text"))
+    h = h.select("qid", (F.col("conv_id") * 1000 + F.col("turn")).alias("chunk_id"), F.col("turn").alias("document_id"), F.col("role").alias("section"), "text", (0.9137 - F.col("turn") * 0.051713).alias("score"), (2010 + F.col("turn")).cast("int").alias("year"), "turn").withColumn("rank", r)
+    return qa.select("qid", "question", "answer"), h
+
+
+TURNS = """qa AS (SELECT conv_id * 1000 + turn qid, conv_id, turn AS trn, text answer, question FROM (SELECT *, lag(role) OVER w b, lag(text) OVER w question FROM conversations WHERE role <> 'system' WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) WHERE role = 'assistant' AND b = 'user'),
+h AS (SELECT qid, c.conv_id * 1000 + turn chunk_id, turn document_id, role section, text, 0.9137::DOUBLE - turn * 0.051713::DOUBLE score, (2010 + turn)::INT AS year, row_number() OVER (PARTITION BY qid ORDER BY turn, text) rank FROM conversations c JOIN qa ON c.conv_id = qa.conv_id AND turn <> trn)"""
+CONF = f"""ag AS (SELECT h.qid, round(0.4 * max(score) + 0.4 * avg(score) + 0.2 * least(count(score) / 8.0::DOUBLE, 1), 4) rc,
+ round(least(sum(CASE WHEN len({terms_sql('h.text')}) > 0 THEN len(list_intersect({terms_sql('h.text')}, {terms_sql('answer')}))::DOUBLE / len({terms_sql('h.text')}) ELSE 0 END) / count(*) * 2, 1), 4) g,
+ round(0.6 * least(count(DISTINCT document_id) / 3.0::DOUBLE, 1) + 0.4 * least(count(DISTINCT CASE WHEN section NOT IN ('', 'general') THEN section END) / 4.0::DOUBLE, 1), 4) sc, avg(score) a FROM h JOIN qa USING (qid) GROUP BY 1),
+cf AS (SELECT qid, coalesce(rc, 0) retrieval_confidence, coalesce(g, 0) answer_grounding, coalesce(sc, 0) source_coverage,
+ CASE WHEN a IS NULL THEN 0.9::DOUBLE ELSE round(least(greatest(greatest(0, 0.8::DOUBLE - a) + {hits_sql('lower(answer)', UNSURE)} * 0.1::DOUBLE + {hits_sql('lower(answer)', HEDGES)} * 0.02::DOUBLE - {hits_sql('lower(answer)', ANCHORS)} * 0.05::DOUBLE, 0), 1), 4) END hallucination_risk, a FROM qa LEFT JOIN ag USING (qid)),
+cn AS (SELECT *, round(least(greatest(0.35::DOUBLE * retrieval_confidence + 0.35::DOUBLE * answer_grounding + 0.15::DOUBLE * source_coverage + 0.15::DOUBLE * (1.0::DOUBLE - hallucination_risk), 0), 1)::VARCHAR::DECIMAL(20, 17), 4)::DOUBLE overall,
+ (retrieval_confidence < 0.4)::INT + (answer_grounding < 0.3)::INT + (hallucination_risk > 0.4)::INT + (a IS NULL)::INT n_warnings FROM cf)"""
+CONFLEX = {"uncertainty": UNSURE, "hedges": HEDGES, "anchors": ANCHORS}
+
+
+def _confidence(spark, d):
+    qa, h = _turns(spark, d)
+    return confidence.confidence(qa, h, **CONFLEX)
+
+
+def confidence_scores(spark, d):
+    return _confidence(spark, d).select("qid", "retrieval_confidence", "answer_grounding", "source_coverage", "hallucination_risk", "overall", "is_reliable", F.size("warnings").cast("long").alias("n_warnings"))
+
+
+def context_validation(spark, d):
+    qa, h = _turns(spark, d)
+    v = validation.validate_context(qa, h, CLASHES)
+    return v.select("qid", "quality_score", "coverage_score", "consistency_score", "is_valid", F.size("warnings").cast("long").alias("n_warnings"))
+
+
+SENTS = "list_filter(list_transform(string_split(regexp_replace(answer, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda s: trim(s, ' ' || chr(10) || chr(9) || chr(13))), lambda s: len(s) >= 20 AND (regexp_matches(s, '(?i)' || num) OR (contains(lower(s), 'is') OR contains(lower(s), 'are') OR contains(lower(s), 'was') OR contains(lower(s), 'were') OR contains(lower(s), 'has been') OR contains(lower(s), 'have been')) AND len(regexp_split_to_array(s, '\\s+')) >= 8))"
+CLAIMS = f"""sn AS (SELECT qid, list_slice({SENTS}, 1, 20) l FROM qa, (SELECT '\\b\\d+(?:\\.\\d+)?(?:\\s*-\\s*\\d+(?:\\.\\d+)?)?\\s*(?:%|mg|mcg|g|ml|mmhg|mmol|ng|pg|iu|units?|hours?|days?|weeks?|months?|years?)\\b' num)),
+cl AS (SELECT qid, unnest(range(1, len(l) + 1)) claim_no, unnest(l) claim FROM sn),
+vj AS (SELECT cl.qid, claim_no, claim, regexp_extract_all(claim, '\\b\\d+(?:\\.\\d+)?\\b') nums, h.text, chunk_id, rank, CASE WHEN len({terms_sql('h.text')}) > 0 THEN CASE WHEN len({terms_sql('claim')}) > 0 THEN len(list_intersect({terms_sql('claim')}, {terms_sql('h.text')}))::DOUBLE / len({terms_sql('claim')}) ELSE 0 END END o FROM cl LEFT JOIN h USING (qid)),
+vb AS (SELECT qid, claim_no, any_value(claim) claim, coalesce(max(CASE WHEN o > 0.35 THEN o END), 0) * CASE WHEN any_value(len(nums)) > 0 AND NOT coalesce(bool_or(len(list_filter(nums, lambda n: contains(text, n))) > 0), false) THEN 0.5 ELSE 1 END best, count(*) FILTER (o > 0.35) n FROM vj GROUP BY 1, 2),
+ev AS (SELECT qid, avg((best >= 0.35)::INT) r, count(claim_no) c, sum((best < 0.35)::INT) u FROM vb GROUP BY 1),
+ef AS (SELECT qa.qid, coalesce(round(r, 4), 1.0) support_ratio, CASE WHEN r IS NULL THEN 'moderate' WHEN r >= 0.85 THEN 'strong' WHEN r >= 0.65 THEN 'moderate' WHEN r >= 0.4 THEN 'weak' ELSE 'insufficient' END evidence_strength, coalesce(c, 0) n_claims, coalesce(u, 0)::BIGINT n_unsupported FROM qa LEFT JOIN ev USING (qid))"""
+VALID = f"""va AS (SELECT qa.qid, avg(CASE WHEN score > 1 THEN score / 100 ELSE score END) av, max(CASE WHEN score > 1 THEN score / 100 ELSE score END) mx, count(h.qid) n, count(DISTINCT document_id) docs, max(h.year) yr, sum(len(h.text)) sz, {' + '.join(f"coalesce((bool_or(regexp_matches(lower(h.text), '{p}')) AND bool_or(regexp_matches(lower(h.text), '{m}')))::INT, 0)" for p, m in CLASHES)} cl, any_value({terms_sql('qa.question')}) qt, list_distinct(flatten(list({terms_sql('h.text')}))) ctx FROM qa LEFT JOIN h USING (qid) GROUP BY 1),
+vs AS (SELECT qid, n, docs, yr, sz, CASE WHEN n = 0 THEN 0 ELSE round(0.5 * av + 0.5 * mx, 4) END quality_score, CASE WHEN n = 0 THEN 0 WHEN len(qt) = 0 THEN 0.5 ELSE round(len(list_intersect(qt, ctx))::DOUBLE / len(qt), 4) END coverage_score, CASE WHEN n = 0 THEN 0 WHEN n = 1 THEN 1.0 ELSE round(1 - least(cl * 0.1::DOUBLE, 0.5), 4) END consistency_score FROM va),
+vv AS (SELECT *, n > 0 AND quality_score >= 0.25 AND coverage_score >= 0.15 is_valid, CASE WHEN n = 0 THEN 1 ELSE (quality_score < 0.4)::INT + (coverage_score < 0.3)::INT + (consistency_score < 0.5)::INT + (docs = 1)::INT + (yr < 2015)::INT + (sz < 200)::INT END nw FROM vs)"""
+
+
+def _verified(spark, d):
+    qa, h = _turns(spark, d)
+    return qa, validation.verify_claims(validation.extract_claims(qa, patterns=()), h)
+
+
+def extract_claims(spark, d):
+    return validation.extract_claims(_turns(spark, d)[0], patterns=()).select("qid", F.col("claim_no").cast("long").alias("claim_no"), "claim")
+
+
+def verify_claims(spark, d):
+    return _verified(spark, d)[1].select("qid", F.col("claim_no").cast("long").alias("claim_no"), "is_supported", "support_score", F.size("supporting").cast("long").alias("n_supporting"))
+
+
+def unsupported_claims(spark, d):
+    return validation.unsupported(_verified(spark, d)[1]).select("qid", F.col("claim_no").cast("long").alias("claim_no"), "warning")
+
+
+def evidence(spark, d):
+    return validation.evidence(*_verified(spark, d)).drop("claim_warnings")
+
+
+def calibrated(spark, d):
+    qa, h = _turns(spark, d)
+    found = validation.evidence(*_verified(spark, d))
+    c = validation.calibrate(confidence.confidence(qa, h, **CONFLEX), validation.validate_context(qa, h, CLASHES), found)
+    return c.select("qid", "overall", "hallucination_risk", "is_reliable")
+
+
+def _cited(spark, d):
+    extra = {"authors": F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("Author "), F.col("doc_id") % 7)), "page": F.col("doc_id") % 4, "section": F.when(F.col("doc_id") % 2 == 0, "results"), "journal": F.when(F.col("doc_id") % 5 == 0, "Letters")}
+    return _hits(spark, d).where(F.col("rank") <= 5).join(_docs(spark, d).withColumns(extra), F.col("chunk_id") == F.col("doc_id"))
+
+
+CITED = f"""WITH {RRF}, ct AS (SELECT qid, chunk_id, score, rank, text, lang, source, 1990 + doc_id % 35 AS year, CASE WHEN doc_id % 3 = 0 THEN 'Author ' || doc_id % 7 END authors, doc_id % 4 page, CASE WHEN doc_id % 2 = 0 THEN 'results' END section, CASE WHEN doc_id % 5 = 0 THEN 'Letters' END journal FROM top JOIN documents ON chunk_id = doc_id WHERE rank <= 5)"""
+
+
+def citation_list(spark, d):
+    c = citations.citations(_cited(spark, d))
+    return c.select("qid", F.col("citation_number").cast("long").alias("citation_number"), "chunk_id", "filename", "score", "text_preview")
+
+
+def citation_block(spark, d):
+    return citations.citation_block(citations.citations(_cited(spark, d)))
+
+
+def context_block(spark, d):
+    return citations.context_blocks(t(spark, d, "benchmark").select(F.col("item_id").alias("qid")), _cited(spark, d))
+
+
+def key_phrases(spark, d):
+    return t(spark, d, "documents").select("doc_id", F.array_join(T.key_phrases(F.col("text")), "|").alias("phrases"))
+
+
+def inject_markers(spark, d):
+    hits = _cited(spark, d)
+    answers = t(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("answer"))
+    return citations.inject_markers(answers, hits)
+
+
+def dedup_checksum(spark, d):
+    docs = t(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("checksum"))
+    return catalog.new_documents(docs, None, order="doc_id").select("doc_id", "checksum")
+
+
+def clean_text(spark, d):
+    return t(spark, d, "documents").select("doc_id", F.md5(T.clean_text(F.col("text"))).alias("h"), T.truncate(F.col("text"), 40).alias("short"))
+
+
+def file_names(spark, d):
+    return t(spark, d, "pages").select("page_id", T.file_extension(F.col("url")).alias("ext"), T.sanitize_filename(F.col("url")).alias("safe"))
+
+
+def doc_type(spark, d):
+    return t(spark, d, "documents").select("doc_id", M.document_type(F.col("text"), TYPES).alias("kind"), M.specialty(F.col("text"), ("zzzq", "tionti", "ent")).alias("specialty"))
+
+
+def doc_year(spark, d):
+    c = F.concat(F.lit("In "), (F.col("doc_id") % 300 + 1850).cast("string"), F.lit(", "), F.col("text"))
+    return t(spark, d, "documents").select("doc_id", M.year(c).alias("year"), M.any_year(c).alias("any_year"))
+
+
+def stats_by_type(spark, d):
+    return catalog.count_by_type(_docs(spark, d))
+
+
+def chunk_types(spark, d):
+    kinds = t(spark, d, "documents").select((F.col("doc_id") % 3 == 0).alias("is_image_chunk"), F.when(F.col("doc_id") % 2 == 0, "table").otherwise("text").alias("chunk_type"))
+    return catalog.chunk_type_counts(kinds)
+
+
+LINES = ("re", "la", "de")
+
+
+def section_carry(spark, d):
+    lines = t(spark, d, "documents").select(F.col("doc_id").alias("document_id"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    det = F.coalesce(*[F.when(F.lower("line").startswith(p), F.lit(p)) for p in LINES])
+    return catalog.carry_sections(lines.withColumn("detected", det)).select("document_id", F.col("pos").cast("long").alias("pos"), "section")
+
+
+def image_modality(spark, d):
+    lex = {"a": ("the", "ing "), "b": ("und", "der "), "c": ("que", "les ")}
+    return t(spark, d, "documents").select("doc_id", images.modality(F.col("text"), lexicon=lex).alias("modality"))
+
+
+def image_report(spark, d):
+    sev = F.element_at(F.array(*map(F.lit, ("info", "low", "moderate", "high", "critical"))), (F.col("turn") % 5 + 1).cast("int"))
+    f = F.struct(F.when(F.col("turn") % 4 == 0, "image_quality").otherwise("opacity").alias("finding_type"), F.substring("text", 1, 20).alias("description"), ((F.col("turn") % 10) / 10.0).alias("confidence"), F.lit("x").alias("region"), sev.alias("severity"))
+    g = t(spark, d, "conversations").groupBy("conv_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("turn", f.alias("f")))), lambda x: x["f"]).alias("findings"))
+    r = images.report(F.col("findings"), F.lit("ct"))
+    return g.select("conv_id", r["overall_severity"].alias("severity"), r["overall_confidence"].alias("confidence"), r["findings_summary"].alias("summary"), r["impression"].alias("impression"))
+
+
+def chunk_two_level(spark, d):
+    from ..operators import chunking
+
+    docs = t(spark, d, "documents").select(F.col("doc_id").alias("document_id"), "text")
+    kids, _ = chunking.chunk(docs)
+    return kids.select("document_id", "section", "parent_chunk_id", "chunk_id", F.length("text").alias("size"))
+
+
+def section_split(spark, d):
+    from ..operators import chunking
+
+    s = t(spark, d, "documents").select("doc_id", F.posexplode(chunking.sections(F.col("text"))).alias("no", "s"))
+    return s.select("doc_id", F.col("no").cast("long").alias("no"), F.col("s.name").alias("name"), F.length("s.text").cast("long").alias("size"))
+
+
+def stream_ingest(spark, d):
+    from ..streaming.ingest import stream_once
+
+    return stream_once(spark, d)
+
+
+QUERIES = {f.__name__: f for f in (tokenize_counts, bm25_fit, bm25_encode, bm25_fallback, incremental_vocab, sparse_topk, dense_topk, dense_topk_filtered, filter_predicate, rrf_fusion, hybrid_retrieve, compress_context, final_limit, parent_expand, query_variants_parse, medical_score, rerank_fused, confidence_scores, context_validation, extract_claims, verify_claims, unsupported_claims, evidence, calibrated, citation_list, citation_block, context_block, key_phrases, inject_markers, dedup_checksum, clean_text, file_names, doc_type, doc_year, stats_by_type, chunk_types, section_carry, section_split, image_modality, image_report, chunk_two_level, stream_ingest)}
+
+_WS = "[\\s\\x1c-\\x1f\\x85\\p{Z}]"
+_DOM = f"""round(least(greatest(least({hits_sql('lower(d.text)', PRIORITY)} * 0.03::DOUBLE, 0.15) + CASE WHEN source IN ('src1', 'src2', 'src3') THEN 0.05::DOUBLE ELSE 0 END + CASE WHEN lang IN ('en', 'fr') THEN 0.05::DOUBLE ELSE 0 END + least(len(d.text) / 1000.0::DOUBLE, 1) * 0.03::DOUBLE + len(list_intersect({terms_sql('b.text')}, {terms_sql('d.text')}))::DOUBLE / greatest(len({terms_sql('b.text')}), 1) * 0.1::DOUBLE - {hits_sql('lower(d.text)', NEGATIVE)} * 0.05::DOUBLE, 0), 0.3), 6)"""
+_SCORED = f"WITH {RRF}, sc AS (SELECT qid, chunk_id, rank, {_DOM} domain_score FROM top JOIN documents d ON chunk_id = doc_id JOIN benchmark b ON qid = item_id)"
+_MODAL = "['a', 'b', 'c'][list_position(l, list_max(l))]"
+ORACLE_SQL: dict[str, str] = {
+    "tokenize_counts": f"SELECT doc_id, len({tokens_sql('text')}) n_tokens, len(list_distinct({tokens_sql('text')})) n_distinct FROM documents",
+    "bm25_fit": f"WITH {BM25} SELECT token, df, round(idf, 6) idf FROM terms",
+    "bm25_encode": f"WITH {BM25} SELECT doc_id, dw.token, c.tf, round(w, 6) w FROM dw JOIN counts c USING (doc_id, token)",
+    "bm25_fallback": f"WITH p AS (SELECT doc_id, unnest(range(len(tk))) pos, unnest(tk) token, len(tk) total FROM (SELECT doc_id, {tokens_sql('text')} tk FROM documents)), g AS (SELECT doc_id, token, count(*) tf, min(pos) pos, any_value(total) total FROM p GROUP BY 1, 2) SELECT doc_id, token, round(tf::DOUBLE / total, 9) w FROM g QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY tf DESC, pos) <= 64",
+    "incremental_vocab": f"WITH f AS (SELECT * FROM documents WHERE doc_id < 100), n AS (SELECT count(*)::DOUBLE n FROM f), c AS (SELECT token, count(*) df FROM (SELECT unnest(list_distinct({tokens_sql('text')})) token FROM f) GROUP BY 1), a AS (SELECT DISTINCT unnest({tokens_sql('text')}) token FROM documents) SELECT token, round(coalesce(ln((n - df + 0.5) / (df + 0.5) + 1), 0.5), 6) idf FROM a LEFT JOIN c USING (token), n",
+    "sparse_topk": f"WITH {BM25} SELECT item_id, doc_id, round(score, 6) score, rank FROM spk",
+    "dense_topk": f"WITH {DENSE} SELECT query_id, vec_id, score, rank FROM dnk",
+    "dense_topk_filtered": "WITH dn AS (SELECT a.vec_id query_id, b.vec_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) score FROM embeddings a, embeddings b WHERE a.vec_id < 10 AND b.label <= 4) SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) rank FROM dn WHERE score >= 0.3 QUALIFY rank <= 16",
+    "filter_predicate": "SELECT doc_id, lang document_type, (1990 + doc_id % 35)::INT AS year FROM documents WHERE lang = 'en' AND 1990 + doc_id % 35 BETWEEN 2000 AND 2010",
+    "rrf_fusion": f"WITH {RRF} SELECT qid, chunk_id, score, rank FROM top",
+    "hybrid_retrieve": f"WITH {RRF} SELECT qid, chunk_id, score, rank, lang document_type, source filename FROM (SELECT *, count(*) OVER (PARTITION BY qid) n FROM top) JOIN documents ON chunk_id = doc_id WHERE rank <= greatest(1, floor(n * 0.6::DOUBLE)) AND rank <= 8",
+    "compress_context": f"WITH {RRF} SELECT qid, chunk_id, score, rank FROM (SELECT *, count(*) OVER (PARTITION BY qid) n FROM top) WHERE rank <= greatest(1, floor(n * 0.6::DOUBLE))",
+    "final_limit": f"WITH {RRF} SELECT qid, chunk_id, rank FROM top WHERE rank <= 5",
+    "parent_expand": f"WITH {RRF}, hh AS (SELECT *, CASE WHEN chunk_id % 5 <> 0 THEN chunk_id % 40 END p FROM top), ch AS (SELECT qid, p, arg_max(score, rank) score, min(rank) rank FROM hh WHERE rank <= 3 AND p IS NOT NULL AND p % 7 <> 3 GROUP BY 1, 2), u AS (SELECT qid, p chunk_id, score, true is_parent, 0 part, rank FROM ch UNION ALL SELECT qid, chunk_id, score, false, 1, rank FROM hh WHERE NOT EXISTS (SELECT 1 FROM ch WHERE ch.qid = hh.qid AND ch.p = hh.p)) SELECT qid, chunk_id, score, is_parent, row_number() OVER (PARTITION BY qid ORDER BY score DESC, part, rank, chunk_id) rank FROM u QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score DESC, part, rank, chunk_id) <= 16",
+    "query_variants_parse": f"WITH l AS (SELECT doc_id qid, list_concat(['question ' || doc_id], list_slice(list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^{_WS}+|{_WS}+$', '', 'g')), lambda x: len(x) > 10), 1, 3)) v FROM documents) SELECT qid, unnest(range(len(v))) variant_no, unnest(v) AS text FROM l",
+    "medical_score": f"{_SCORED} SELECT qid, chunk_id, domain_score FROM sc",
+    "rerank_fused": f"{_SCORED}, rr AS (SELECT qid, chunk_id, rank r0, round(least(round(0.5::DOUBLE * (chunk_id % 97) / 97.0::DOUBLE + 0.5::DOUBLE * (chunk_id % 89) / 89.0::DOUBLE, 6) + domain_score, 1), 6) rerank_score FROM sc) SELECT qid, chunk_id, rerank_score, row_number() OVER (PARTITION BY qid ORDER BY rerank_score DESC, r0, chunk_id) rank FROM rr QUALIFY row_number() OVER (PARTITION BY qid ORDER BY rerank_score DESC, r0, chunk_id) <= 5",
+    "confidence_scores": f"WITH {TURNS}, {CONF} SELECT qid, retrieval_confidence, answer_grounding, source_coverage, hallucination_risk, overall, overall >= 0.55 is_reliable, n_warnings::BIGINT n_warnings FROM cn",
+    "context_validation": f"WITH {TURNS}, {VALID} SELECT qid, quality_score, coverage_score, consistency_score, is_valid, nw::BIGINT n_warnings FROM vv",
+    "extract_claims": f"WITH {TURNS}, {CLAIMS} SELECT qid, claim_no, claim FROM cl",
+    "verify_claims": f"WITH {TURNS}, {CLAIMS} SELECT qid, claim_no, best >= 0.35 is_supported, round(best, 4) support_score, least(n, 3) n_supporting FROM vb",
+    "unsupported_claims": f"WITH {TURNS}, {CLAIMS} SELECT qid, claim_no, CASE WHEN regexp_matches(claim, '\\b\\d+(?:\\.\\d+)?\\b') THEN '{validation.NUMERIC_WARNING.replace(chr(39), chr(39) * 2)}' ELSE '{validation.CLAIM_WARNING.replace(chr(39), chr(39) * 2)}' END || left(claim, 100) || chr(39) warning FROM vb WHERE best < 0.35",
+    "evidence": f"WITH {TURNS}, {CLAIMS} SELECT * FROM ef",
+    "calibrated": f"WITH {TURNS}, {CONF}, {VALID}, {CLAIMS}, cb AS (SELECT qid, round(least(greatest((overall * 0.65::DOUBLE + quality_score * 0.15::DOUBLE + support_ratio * 0.20::DOUBLE) * CASE WHEN is_valid THEN 1 ELSE 0.7::DOUBLE END - CASE evidence_strength WHEN 'insufficient' THEN 0.25::DOUBLE WHEN 'weak' THEN 0.10::DOUBLE ELSE 0 END, 0), 1), 4) overall, CASE WHEN n_unsupported > 0 THEN round(least(hallucination_risk + least(n_unsupported * 0.08::DOUBLE, 0.3), 1), 4) ELSE hallucination_risk END hallucination_risk FROM cn JOIN vv USING (qid) JOIN ef USING (qid)) SELECT qid, overall, hallucination_risk, overall >= 0.55 is_reliable FROM cb",
+    "citation_list": f"{CITED} SELECT qid, rank citation_number, chunk_id, source filename, score, regexp_replace(left(text, 250), '^{_WS}+|{_WS}+$', '', 'g') text_preview FROM ct",
+    "citation_block": f"{CITED} SELECT qid, chr(10) || chr(10) || '**References:**' || chr(10) || string_agg(concat_ws(' — ', '[' || rank || ']', authors, source, '(' || year || ')', '*' || journal || '*', CASE WHEN page <> 0 THEN 'p. ' || page END, '§ ' || section), chr(10) ORDER BY rank) AS block FROM ct GROUP BY qid",
+    "context_block": f"{CITED}, bl AS (SELECT qid, string_agg(concat_ws(' ', '[' || rank || '] ' || source, '(' || lang || ')', '| ' || authors, '| ' || year, CASE WHEN page <> 0 THEN '| p.' || page END, '| §' || section) || chr(10) || text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank) c FROM ct GROUP BY qid) SELECT item_id qid, coalesce(c, 'No relevant context retrieved.') context FROM benchmark LEFT JOIN bl ON item_id = qid",
+    "key_phrases": f"SELECT doc_id, array_to_string(list_slice(list_filter(list_transform(regexp_split_to_array(text, '[.!?]'), lambda s: regexp_replace(s, '^{_WS}+|{_WS}+$', '', 'g')), lambda s: s <> '' AND len(regexp_split_to_array(s, '{_WS}+')) BETWEEN 4 AND 15), 1, 3), '|') phrases FROM documents",
+    "dedup_checksum": "SELECT min(doc_id) doc_id, sha256(text) checksum FROM documents GROUP BY sha256(text)",
+    "clean_text": f"SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(text, '{_WS}+', ' ', 'g'), '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f]', '', 'g'), '^{_WS}+|{_WS}+$', '', 'g')) h, CASE WHEN len(text) > 40 THEN left(text, 40) || '...' ELSE text END short FROM documents",
+    "file_names": "SELECT page_id, regexp_extract(lower(url), '\\.([^.]*)$', 1) ext, left(regexp_replace(url, '[^\\p{L}\\p{N}_.\\-]', '_', 'g'), 200) safe FROM pages",
+    "doc_type": "WITH s AS (SELECT doc_id, text, [" + ", ".join("(" + " + ".join(f"regexp_matches(lower(text), {q(p)})::INT" for p in ps) + ")" for ps in TYPES.values()) + "] l FROM documents) SELECT doc_id, CASE WHEN list_max(l) >= 2 THEN ['alpha', 'beta', 'gamma'][list_position(l, list_max(l))] ELSE 'general' END kind, CASE WHEN contains(lower(text), 'zzzq') THEN 'zzzq' WHEN contains(lower(text), 'tionti') THEN 'tionti' WHEN contains(lower(text), 'ent') THEN 'ent' END specialty FROM s",
+    "doc_year": "WITH s AS (SELECT doc_id, 'In ' || (doc_id % 300 + 1850) || ', ' || text t FROM documents) SELECT doc_id, try_cast(regexp_extract(left(t, 3000), '\\b(19[5-9]\\d|20[0-2]\\d)\\b', 1) AS INT) AS year, try_cast(regexp_extract(t, '\\b((?:19|20)\\d{2})\\b', 1) AS INT) any_year FROM s",
+    "stats_by_type": "SELECT lang document_type, count(*) n FROM documents GROUP BY 1",
+    "chunk_types": "SELECT count(*) FILTER (doc_id % 3 = 0) image, count(*) FILTER (doc_id % 3 <> 0 AND doc_id % 2 = 0) AS table, count(*) FILTER (doc_id % 3 <> 0 AND doc_id % 2 <> 0) AS text FROM documents",
+    "section_carry": "WITH l AS (SELECT doc_id document_id, unnest(range(len(string_split(text, chr(10))))) pos, unnest(string_split(text, chr(10))) line FROM documents), g AS (SELECT *, " + "CASE " + " ".join(f"WHEN starts_with(lower(line), {q(p)}) THEN {q(p)}" for p in LINES) + " END det FROM l) SELECT document_id, pos, coalesce(last_value(det IGNORE NULLS) OVER (PARTITION BY document_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 'general') section FROM g",
+    "image_modality": f"WITH s AS (SELECT doc_id, [{hits_sql('lower(text)', ('the', 'ing '))}, {hits_sql('lower(text)', ('und', 'der '))}, {hits_sql('lower(text)', ('que', 'les '))}] l FROM documents) SELECT doc_id, CASE WHEN list_max(l) > 0 THEN {_MODAL} ELSE 'clinical' END modality FROM s",
+    "image_report": "WITH f AS (SELECT conv_id, turn, turn % 4 = 0 iq, left(text, 20) d, (turn % 10) / 10.0::DOUBLE c, turn % 5 s FROM conversations), g AS (SELECT conv_id, CASE WHEN bool_or(s = 4) THEN 'critical' WHEN bool_or(s = 3) THEN 'high' WHEN bool_or(s = 2) THEN 'moderate' ELSE 'low' END severity, round(avg(c), 3) confidence, list(d ORDER BY turn) FILTER (NOT iq) l FROM f GROUP BY 1) SELECT conv_id, severity, confidence, coalesce(nullif(array_to_string(list_slice(l, 1, 3), ' | '), ''), 'No findings.') summary, CASE WHEN l IS NULL THEN 'CT image — no significant automated findings.' ELSE 'CT demonstrates:' || array_to_string(list_transform(list_slice(l, 1, 5), lambda x: chr(10) || '- ' || x), '') END || chr(10) || 'Note: Automated analysis only. Clinical correlation required.' impression FROM g",
+}
