@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import decontaminate, jaccard, licenses, lm, mixing, pii, quality, sharding, warc
+from . import decontaminate, jaccard, licenses, lines, lm, mixing, pii, quality, sharding, warc
 
 QUERIES = {
     "op1_license_scan": licenses.op1_license_scan,
     "op2_sharding": sharding.op2_sharding,
     "op3_pii": pii.op3_pii,
     "op4_warc": warc.op4_warc,
+    "op5_line_dedup": lines.op5_line_dedup,
     "op6_quality_rules": quality.op6_quality,
     "op7_lm_scoring": lm.op7_lm_scoring,
     "op8_mixing": mixing.op8_mixing,
