@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 from .common import KEY, components, keyed, small, stage, table
 from .shingles import U64, WordHash, mix, shingle_hashes, words_of
 
-#: Bytes of text in one side of a verification task.
-BLOCK_BYTES = 4_000_000
+#: Bytes of text and texts in one side of a verification task.
+BLOCK_BYTES, BLOCK_TEXTS = 4_000_000, 700
 SPARE = 0.2  # e as a share of k
 
 
@@ -170,7 +170,7 @@ def link(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     first = F.min(F.struct(KEY, "bytes")).alias("first")
     picked = rows.join(blobs, "class", "left_semi").groupBy("class").agg(first).join(blobs, "class").select("class", "blob", f"first.{KEY}", "first.bytes")
     picked = stage(picked, "picked")
-    large = stage(picked.groupBy("blob").agg((F.sum("bytes") / BLOCK_BYTES + 1).cast("int").alias("blocks")).where("blocks > 1"), "large")
+    large = stage(picked.groupBy("blob").agg((F.greatest(F.sum("bytes") / BLOCK_BYTES, F.count("*") / BLOCK_TEXTS) + 1).cast("int").alias("blocks")).where("blocks > 1"), "large")
     picked = picked.join(small(large), "blob", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     picked = picked.withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
