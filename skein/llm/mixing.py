@@ -20,6 +20,7 @@ BLOCK_ROWS, BUCKETS, MAX_PERIOD, MAX_SOURCES = 16, 512, 4096, 256
 #: Target weights of the sources that the corpus has; a source that is not listed has weight 1.
 WEIGHTS = {f"src{i}": 1 + i % 4 for i in range(20)}
 _NONE = "\x00none"
+RESULTS = {"source_rank": "long", "block": "long", "slot": "long", "release": "long", "deadline": "long", "phase": "int", "position": "long"}
 
 
 def period(weights: dict[str, int]) -> dict[str, list[int]]:
@@ -55,12 +56,19 @@ def _values(spark: SparkSession, rows: list[tuple], shape: str) -> DataFrame:
 
 
 def order(docs: DataFrame, weights: dict[str, int], block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """docs with source_rank, block, slot, release, deadline (within the phase), phase and position (from 0, gapless).
+    """docs with RESULTS; columns of docs of those names give way."""
+    placed = _placed(docs, weights, block_rows)
+    return placed.select(*[f"__row.{c}" for c in docs.columns if c not in RESULTS], *RESULTS)
+
+
+def _placed(docs: DataFrame, weights: dict[str, int], block_rows: int) -> DataFrame:
+    """(__row: docs' columns) with source_rank, block, slot, release, deadline (within the phase), phase and position (from 0, gapless).
 
     Null sources count as one source of their own, of weight 1; null ids come first within a source, and rows that
     repeat take places next to one another. A source is ranked in BUCKETS parts, so one that holds most rows is spread
     over as many tasks. An empty table gives no rows. More than MAX_SOURCES sources, or weights below 1, are an error."""
     spark = docs.sparkSession
+    docs = docs.select(F.struct(*docs.columns).alias("__row"), "doc_id", "source", *[c for c in ("text",) if c in docs.columns])
     source = F.coalesce(F.col("source"), F.lit(_NONE))
     rows = docs.withColumns({"__s": F.hex(F.encode(source, "utf-8")), "__b": F.pmod(F.xxhash64("doc_id", F.crc32(F.coalesce("text", F.lit("")).cast("binary")) if "text" in docs.columns else F.lit(0)), F.lit(BUCKETS)).cast("int")})
     counts = stage(rows.groupBy("__s", "__b").agg(F.count("*").alias("n")).coalesce(1), "counts")
@@ -72,8 +80,7 @@ def order(docs: DataFrame, weights: dict[str, int], block_rows: int = BLOCK_ROWS
     own = {s: int(weights.get(bytes.fromhex(s).decode(), 1)) for s in totals}
     plan = phases({s: -(-n // block_rows) for s, n in totals.items()}, own)
     if not plan:
-        names = {"source_rank": "long", "block": "long", "slot": "long", "release": "long", "deadline": "long", "phase": "int", "position": "long"}
-        return docs.withColumns({c: F.lit(None).cast(t) for c, t in names.items()}).limit(0)
+        return docs.withColumns({c: F.lit(None).cast(t) for c, t in RESULTS.items()}).limit(0)
     # at most one row for each source, phase and block of a period
     slots = [(f"'{s}'", i, k, p, at, first[s], w, sum(ws.values())) for i, (at, first, ws) in enumerate(plan) for s, w in ws.items() for k, p in enumerate(period(ws)[s])]
     slots = _values(spark, [f"({', '.join(map(str, x))})" for x in slots], "__s, phase, k, place, at, first, weight, total")
@@ -106,7 +113,7 @@ def order(docs: DataFrame, weights: dict[str, int], block_rows: int = BLOCK_ROWS
         slot = at + (b - first[s]) // ws[s] * sum(ws.values()) + period(ws)[s][(b - first[s]) % ws[s]]
         gap = gap + F.when(F.col("slot") > slot, block_rows - totals[s] % block_rows).otherwise(0)
     rows = rows.withColumn("position", F.col("slot") * block_rows + F.col("source_rank") % block_rows - gap)
-    return rows.select(*docs.columns, "source_rank", "block", F.col("slot").cast("long"), F.col("release").cast("long"), F.col("deadline").cast("long"), "phase", "position")
+    return rows.select("__row", *[F.col(c).cast(t).alias(c) for c, t in RESULTS.items()])
 
 
 def _phases_of(plan: list) -> dict[str, list[tuple[int, int]]]:
@@ -127,9 +134,8 @@ def deviation(slot: int, taken: int, weight: int, total: int) -> Fraction:
 
 def mix(docs: DataFrame, weights: dict[str, int] | None = None) -> DataFrame:
     """docs in mixed order: sorted by position over range partitions, with docs' columns."""
-    names = docs.columns
-    placed = order(docs, WEIGHTS if weights is None else weights)
-    return placed.repartitionByRange("position").sortWithinPartitions("position").select(*names)
+    placed = _placed(docs, WEIGHTS if weights is None else weights, BLOCK_ROWS)
+    return placed.select("__row", "position").repartitionByRange("position").sortWithinPartitions("position").select("__row.*")
 
 
 def op8_mixing(spark, sf_dir: str) -> DataFrame:
