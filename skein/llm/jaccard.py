@@ -5,7 +5,8 @@ shingles is dealt into k + 1 + e partitions: sets that link agree wholly on at l
 one shared signature. The partitions that hold fewest shingles of a set say least; up to e of them are left out. That
 loses nothing: of e + 1 agreements at least one is left in for both. A set has signatures at its own level and the next.
 
-Sets that share a signature fall into one blob (a component of the signature graph). Blobs are verified in tasks of
+Sets that share a signature, and whose parity bitmaps differ in no more bits than sets that link may differ in shingles,
+fall into one blob (a component of that graph). The bitmap keeps passages that many documents share from joining them. Blobs are verified in tasks of
 bounded size: within a task a pair is compared only if it shares a signature and is not linked already, and what comes
 out is a spanning forest, never all pairs. Components of those links are the classes.
 """
@@ -20,11 +21,13 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import KEY, components, keyed, small, stage, table
+from .common import BROADCAST_ROWS, KEY, components, keyed, small, stage, table
 from .shingles import U64, WordHash, mix, shingle_hashes, words_of
 
 #: Bytes of text and texts in one side of a verification task.
 BLOCK_BYTES, BLOCK_TEXTS = 4_000_000, 700
+#: Words of 64 bits in a parity bitmap, and the rows of a signature that are compared shift by shift.
+BITMAP, SHORT = 8, 32
 SPARE = 0.2  # e as a share of k
 
 
@@ -83,16 +86,23 @@ def _class_of(s: np.ndarray) -> int:
     return int(np.int64(np.uint64(xxhash.xxh3_64_intdigest(s.tobytes()))))
 
 
+def _bitmap(s: np.ndarray) -> bytes:
+    """The parity of the set's members at each of 64 * BITMAP places; one differing member changes one bit at most."""
+    m = mix(s ^ U64(0xB17))
+    at = (m >> U64(32)) % U64(64 * BITMAP)
+    return np.packbits(np.bincount(at.astype(np.int64), minlength=64 * BITMAP) & 1).tobytes()
+
+
 def classes(docs: DataFrame, n: int) -> DataFrame:
-    """row key, doc_id, n_shingles, bytes and class (the hash of the set) of each row."""
+    """row key, doc_id, n_shingles, bytes, class (the hash of the set) and bitmap of each row."""
 
     def run(frames):
         hashed = WordHash()
         for frame in frames:
             sets = [np.unique(shingle_hashes(hashed(words_of(t)), n)) for t in frame["text"]]
-            yield pd.DataFrame({KEY: frame[KEY], "doc_id": frame["doc_id"].astype("Int64"), "n_shingles": [len(s) for s in sets], "bytes": [len(t or "") for t in frame["text"]], "class": np.array([_class_of(s) for s in sets], dtype=np.int64)})
+            yield pd.DataFrame({KEY: frame[KEY], "doc_id": frame["doc_id"].astype("Int64"), "n_shingles": [len(s) for s in sets], "bytes": [len(t or "") for t in frame["text"]], "class": np.array([_class_of(s) for s in sets], dtype=np.int64), "bits": pd.Series([_bitmap(s) for s in sets], dtype=object)})
 
-    return docs.select(KEY, "doc_id", "text").mapInPandas(run, f"{KEY} long, doc_id long, n_shingles long, bytes long, class long")
+    return docs.select(KEY, "doc_id", "text").mapInPandas(run, f"{KEY} long, doc_id long, n_shingles long, bytes long, class long, bits binary")
 
 
 def signatures(docs: DataFrame, n: int, percent: int) -> DataFrame:
@@ -117,6 +127,58 @@ def signatures(docs: DataFrame, n: int, percent: int) -> DataFrame:
     return docs.select("text").mapInPandas(run, "sig long, class long")
 
 
+def near(live: DataFrame, percent: int) -> DataFrame:
+    """(a, b): edges that join the classes of each signature whose sizes and bitmaps allow a link.
+
+    live: sig, class, n_shingles, bits; one row for each class of a signature."""
+
+    def fits(n, bits, i, j):
+        a, b = n[i], n[j]
+        sizes = np.minimum(a, b) * 100 >= np.maximum(a, b) * percent
+        return sizes & (np.bitwise_count(bits[i] ^ bits[j]).sum(axis=-1, dtype=np.int64) <= (100 - percent) * (a + b) // (100 + percent))
+
+    def edges(frame: pd.DataFrame) -> pd.DataFrame:
+        sig, cls, n = (frame[c].to_numpy() for c in ("sig", "class", "n_shingles"))
+        bits = np.frombuffer(b"".join(frame["bits"]), dtype=U64).reshape(-1, BITMAP)
+        first = np.nonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))[0]
+        size = np.diff(np.append(first, len(sig)))
+        before = np.arange(len(sig)) - np.repeat(first, size)
+        left, right = [], []
+        i = np.nonzero(np.repeat(size <= SHORT, size) & (before > 0))[0]
+        d = 1
+        while len(i):
+            ok = fits(n, bits, i, i - d)
+            left.append(i[ok])
+            right.append(i[ok] - d)
+            d += 1
+            i = i[before[i] >= d]
+        for at, k in zip(first[size > SHORT], size[size > SHORT], strict=True):
+            part = np.arange(k)  # components so far: what is joined is not compared again
+            for x in range(k - 1):
+                y = x + 1 + np.nonzero(part[x + 1 :] != part[x])[0]
+                y = y[fits(n, bits, at + x, at + y)] if len(y) else y
+                _, once = np.unique(part[y], return_index=True)
+                for z in y[once]:
+                    left.append([at + x])
+                    right.append([at + z])
+                    part[part == part[z]] = part[x]
+        a, b = cls[np.concatenate(left).astype(int)] if left else [], cls[np.concatenate(right).astype(int)] if right else []
+        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}, dtype="int64").drop_duplicates()
+
+    def run(frames):
+        held = None
+        for frame in frames:
+            frame = frame if held is None else pd.concat([held, frame], ignore_index=True)
+            cut = int((frame["sig"] != frame["sig"].iloc[-1]).sum())  # sorted: the last signature may go on
+            held, frame = frame.iloc[cut:], frame.iloc[:cut]
+            if len(frame):
+                yield edges(frame)
+        if held is not None and len(held):
+            yield edges(held)
+
+    return live.repartition("sig").sortWithinPartitions("sig", "class").mapInPandas(run, "a long, b long").distinct()
+
+
 def verify(rows: DataFrame, n: int, percent: int) -> DataFrame:
     """(a, b): links that span what is linked within each task of rows (task, block, class, text).
 
@@ -162,11 +224,13 @@ def link(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     docs has doc_id, text and a row key. Equal sets are one class and never compared. A null, empty or blank text has an
     empty set, which links with nothing. Rows that repeat are of one class."""
     rows = stage(classes(docs, n), "sets")
-    # sort rather than hash: a signature's classes are then seen in order, however many there are
     by_sig = Window.partitionBy("sig")
     sigs = signatures(docs, n, percent)
-    star = sigs.withColumn("hub", F.min("class").over(by_sig)).where("hub <> class").select(F.col("hub").alias("a"), F.col("class").alias("b")).distinct()
-    blobs = stage(components(star), "blobs").withColumnRenamed("node", "class").withColumnRenamed("root", "blob")
+    shared = sigs.withColumn("lo", F.min("class").over(by_sig)).withColumn("hi", F.max("class").over(by_sig)).where("lo <> hi")
+    shared = stage(shared.select("sig", "class").distinct(), "shared")
+    facts = rows.join(shared.select("class").distinct(), "class", "left_semi").groupBy("class").agg(F.first("n_shingles").alias("n_shingles"), F.first("bits").alias("bits"))
+    live = shared.join(small(stage(facts, "facts"), BROADCAST_ROWS // 4), "class")
+    blobs = stage(components(near(live, percent)), "blobs").withColumnRenamed("node", "class").withColumnRenamed("root", "blob")
     first = F.min(F.struct(KEY, "bytes")).alias("first")
     picked = rows.join(blobs, "class", "left_semi").groupBy("class").agg(first).join(blobs, "class").select("class", "blob", f"first.{KEY}", "first.bytes")
     picked = stage(picked, "picked")
@@ -179,7 +243,7 @@ def link(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     links = stage(verify(texts, n, percent), "links")
     found = components(links).withColumnRenamed("node", "class").withColumnRenamed("root", "component")
     out = rows.join(found, "class", "left").withColumn("component", F.when(F.col("n_shingles") > 0, F.coalesce("component", "class")))
-    return stage(out.drop("bytes"), "linked")
+    return stage(out.drop("bytes", "bits"), "linked")
 
 
 def op9_ngram_jaccard(spark, sf_dir: str) -> DataFrame:
