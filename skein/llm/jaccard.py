@@ -21,13 +21,15 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, KEY, components, keyed, small, stage, table
+from .common import KEY, components, keyed, small, stage, table
 from .shingles import U64, WordHash, mix, shingle_hashes, words_of
 
 #: Bytes of text and texts in one side of a verification task.
 BLOCK_BYTES, BLOCK_TEXTS = 4_000_000, 700
 #: Words of 64 bits in a parity bitmap, and the rows of a signature that are compared shift by shift.
 BITMAP, SHORT = 8, 32
+#: Classes, of some 100 bytes each, that are broadcast at most.
+FACTS = 250_000
 SPARE = 0.2  # e as a share of k
 
 
@@ -87,10 +89,21 @@ def _class_of(s: np.ndarray) -> int:
 
 
 def _bitmap(s: np.ndarray) -> bytes:
-    """The parity of the set's members at each of 64 * BITMAP places; one differing member changes one bit at most."""
-    m = mix(s ^ U64(0xB17))
-    at = (m >> U64(32)) % U64(64 * BITMAP)
-    return np.packbits(np.bincount(at.astype(np.int64), minlength=64 * BITMAP) & 1).tobytes()
+    """The parity of the set's members at each of 64 * BITMAP * 2^j places, at least as many as members; one differing
+    member changes one bit at most. Two halves laid over one another are the bitmap of half the places."""
+    places = 64 * BITMAP
+    while places < len(s):
+        places *= 2
+    at = (mix(s ^ U64(0xB17)) >> U64(32)) % U64(places)
+    return np.packbits(np.bincount(at.astype(np.int64), minlength=places) & 1).tobytes()
+
+
+def _apart(a: bytes, b: bytes) -> int:
+    """A lower bound of how many members two sets differ in."""
+    x, y = sorted((np.frombuffer(v, dtype=U64) for v in (a, b)), key=len)
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
 
 
 def classes(docs: DataFrame, n: int) -> DataFrame:
@@ -130,16 +143,22 @@ def signatures(docs: DataFrame, n: int, percent: int) -> DataFrame:
 def near(live: DataFrame, percent: int) -> DataFrame:
     """(a, b): edges that join the classes of each signature whose sizes and bitmaps allow a link.
 
-    live: sig, class, n_shingles, bits; one row for each class of a signature."""
+    live: sig, class, n_shingles, bits; one row for each class of a signature, a signature's rows in one partition."""
 
-    def fits(n, bits, i, j):
+    def fits(n, held, bits, i, j):
         a, b = n[i], n[j]
-        sizes = np.minimum(a, b) * 100 >= np.maximum(a, b) * percent
-        return sizes & (np.bitwise_count(bits[i] ^ bits[j]).sum(axis=-1, dtype=np.int64) <= (100 - percent) * (a + b) // (100 + percent))
+        i, j = np.broadcast_arrays(i, j)
+        most = (100 - percent) * (a + b) // (100 + percent)
+        ok = np.minimum(a, b) * 100 >= np.maximum(a, b) * percent
+        ok &= np.bitwise_count(bits[i] ^ bits[j]).sum(axis=-1, dtype=np.int64) <= most
+        for k in np.nonzero(ok & (most > 16 * BITMAP))[0]:  # sets too large for the short bitmaps
+            ok[k] = _apart(held[i[k]], held[j[k]]) <= most[k]
+        return ok
 
     def edges(frame: pd.DataFrame) -> pd.DataFrame:
         sig, cls, n = (frame[c].to_numpy() for c in ("sig", "class", "n_shingles"))
-        bits = np.frombuffer(b"".join(frame["bits"]), dtype=U64).reshape(-1, BITMAP)
+        whole = frame["bits"].tolist()
+        bits = np.array([np.bitwise_xor.reduce(np.frombuffer(x, dtype=U64).reshape(-1, BITMAP)) for x in whole])
         first = np.nonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))[0]
         size = np.diff(np.append(first, len(sig)))
         before = np.arange(len(sig)) - np.repeat(first, size)
@@ -147,7 +166,7 @@ def near(live: DataFrame, percent: int) -> DataFrame:
         i = np.nonzero(np.repeat(size <= SHORT, size) & (before > 0))[0]
         d = 1
         while len(i):
-            ok = fits(n, bits, i, i - d)
+            ok = fits(n, whole, bits, i, i - d)
             left.append(i[ok])
             right.append(i[ok] - d)
             d += 1
@@ -156,7 +175,7 @@ def near(live: DataFrame, percent: int) -> DataFrame:
             part = np.arange(k)  # components so far: what is joined is not compared again
             for x in range(k - 1):
                 y = x + 1 + np.nonzero(part[x + 1 :] != part[x])[0]
-                y = y[fits(n, bits, at + x, at + y)] if len(y) else y
+                y = y[fits(n, whole, bits, at + x, at + y)] if len(y) else y
                 _, once = np.unique(part[y], return_index=True)
                 for z in y[once]:
                     left.append([at + x])
@@ -176,7 +195,7 @@ def near(live: DataFrame, percent: int) -> DataFrame:
         if held is not None and len(held):
             yield edges(held)
 
-    return live.repartition("sig").sortWithinPartitions("sig", "class").mapInPandas(run, "a long, b long").distinct()
+    return live.sortWithinPartitions("sig", "class").mapInPandas(run, "a long, b long").distinct()
 
 
 def verify(rows: DataFrame, n: int, percent: int) -> DataFrame:
@@ -227,9 +246,11 @@ def link(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     by_sig = Window.partitionBy("sig")
     sigs = signatures(docs, n, percent)
     shared = sigs.withColumn("lo", F.min("class").over(by_sig)).withColumn("hi", F.max("class").over(by_sig)).where("lo <> hi")
-    shared = stage(shared.select("sig", "class").distinct(), "shared")
-    facts = rows.join(shared.select("class").distinct(), "class", "left_semi").groupBy("class").agg(F.first("n_shingles").alias("n_shingles"), F.first("bits").alias("bits"))
-    live = shared.join(small(stage(facts, "facts"), BROADCAST_ROWS // 4), "class")
+    shared = shared.select("sig", "class").distinct()  # still dealt by signature
+    facts = stage(rows.groupBy("class").agg(F.first("n_shingles").alias("n_shingles"), F.first("bits").alias("bits")), "facts")
+    few = facts.limit(FACTS + 1).count() <= FACTS
+    # a broadcast join leaves the rows where they are; more facts than FACTS are joined by a shuffle, and rows dealt anew
+    live = shared.join(F.broadcast(facts), "class") if few else shared.join(facts, "class").repartition("sig")
     blobs = stage(components(near(live, percent)), "blobs").withColumnRenamed("node", "class").withColumnRenamed("root", "blob")
     first = F.min(F.struct(KEY, "bytes")).alias("first")
     picked = rows.join(blobs, "class", "left_semi").groupBy("class").agg(first).join(blobs, "class").select("class", "blob", f"first.{KEY}", "first.bytes")
