@@ -166,7 +166,9 @@ def find(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]
     spread = spread.withColumn("task", F.least("block", "other") * 65_536 + F.greatest("block", "other")).drop("block", "other", "blocks")
     first = verified(stage(candidates(spread.withColumn("wanted", F.lit(True)), percent, NEAREST), "near"), classes, rows, percent)
     again = stage(first.where("more and not same").select(F.col("x").alias("class"), F.lit(True).alias("w")), "again")
-    rest = spread.join(small(again), "class", "left").withColumn("wanted", F.coalesce("w", F.lit(False))).drop("w")
+    # only groups that hold a class in want: their tokens are few
+    tokens = stage(spread.join(small(again), "class").select("token").distinct(), "tokens")
+    rest = spread.join(small(tokens), "token", "left_semi").join(small(again), "class", "left").withColumn("wanted", F.coalesce("w", F.lit(False))).drop("w")
     second = verified(stage(candidates(rest, percent, None), "all"), classes, rows, percent)
     gone = stage(first.where("same").select("x").union(second.where("same").select("x")).distinct().withColumnRenamed("x", "class"), "matched")
     lead = classes.select(KEY, "line_no", F.lit(True).alias("leads")).join(classes.join(gone, "class", "left_anti").select(KEY, "line_no"), [KEY, "line_no"])
