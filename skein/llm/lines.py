@@ -1,25 +1,35 @@
 """Line dedup by an exact set-similarity join: tokens ordered by rarity, prefix, positional and length filters, a parity
 bitmap, and verification of Jaccard on the lines' own words. A line goes when an earlier one matches it.
 
-Lines with equal token sets are one class; only classes are joined. A class needs one earlier match, so a first round
-offers each prefix token's few nearest earlier candidates; classes that had more candidates and found no match are
-offered all of theirs in a second round. So thousands of near copies of a line cost rows in proportion to their number,
-and nothing is dropped. Tokens in very many prefixes are dealt out in blocks.
+Lines with equal token sets are one class, which its first line stands for; only classes are joined. A class needs one
+earlier match, so a first round offers each prefix token's few nearest earlier candidates; classes that had more
+candidates and found no match are offered all of theirs in a second round. So thousands of near copies of a line cost
+rows in proportion to their number, and nothing is dropped. Tokens in very many prefixes are dealt out in blocks.
+
+Words are cut and hashed for many texts at once, in numpy.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import KEY, keyed, small, stage, table
-from .lm import count_words, head_of
-from .shingles import U64, WordHash, mix, words_of
+from .lm import head_of
+from .shingles import U64, mix, words_of
 
 PERCENT, HEAD, NEAREST, BLOCK_ROWS = 80, 100_000, 2, 50_000
+#: Characters of the texts that are cut at once, and distinct words that a counting task holds.
+CHARS, HELD = 1_000_000, 1_000_000
 _LOW = (1 << 62) - 1
+_SPACE = np.zeros(256, dtype=bool)
+_SPACE[list(b" \t\n\r\x0b\x0c")] = True
+_DEPTH = 32
+_TABLE = np.random.default_rng(5).integers(0, 1 << 64, (_DEPTH, 256), dtype=U64).ravel()
+_STEP = U64(0x9E3779B97F4A7C15)
 
 
 def need(a, b, percent: int):
@@ -27,67 +37,134 @@ def need(a, b, percent: int):
     return -(-percent * (a + b) // (100 + percent))
 
 
-class Ordered(WordHash):
-    """Tokens as longs that sort by rarity: those outside the corpus's head by their hash, then the head, rarest first."""
-
-    def __init__(self, head: list[tuple[str, int]]) -> None:
-        super().__init__()
-        ranked = sorted(((c, w) for w, c in head if w), reverse=False)
-        self.head = {w.encode("utf-8", "surrogatepass"): (1 << 62) + i for i, (c, w) in enumerate(ranked)}
-
-    def keys(self, words: list[bytes]) -> np.ndarray:
-        out = (self(words) & U64(_LOW)).astype(np.int64)
-        get = self.head.get
-        known = [(i, k) for i, k in enumerate(map(get, words)) if k is not None]
-        if known:
-            i, k = zip(*known, strict=True)
-            out[list(i)] = k
+def hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, line) of each word of the texts, lines counted on from text to text.
+
+    A byte has a random value for its place in the word; places from 32 on have it times a power."""
+    data = np.frombuffer("\n".join(texts).encode("utf-8", "surrogatepass").lower(), dtype=np.uint8)
+    space = _SPACE[data]
+    at = np.nonzero(~space)[0]
+    if not len(at):
+        return np.zeros(0, dtype=U64), np.zeros(0, dtype=np.int64)
+    first = np.nonzero(np.concatenate([[True], at[1:] != at[:-1] + 1]))[0]
+    size = np.diff(np.append(first, len(at)))
+    place = np.arange(len(at)) - np.repeat(first, size)
+    value = _TABLE[(place % _DEPTH) * 256 + data[at]]
+    far = np.nonzero(place >= _DEPTH)[0]
+    if len(far):
+        value[far] *= np.power(_STEP, (place[far] // _DEPTH).astype(U64))
+    line = np.searchsorted(np.nonzero(data == 10)[0], at[first])
+    return mix(np.add.reduceat(value, first) + size.astype(U64)), line
+
+
+def pieces(texts: list[str | None]):
+    """(from, to) of runs of texts with about CHARS characters."""
+    lo, size = 0, 0
+    for hi, text in enumerate(texts, 1):
+        size += len(text or "")
+        if size >= CHARS or hi == len(texts):
+            yield lo, hi
+            lo, size = hi, 0
+
+
+def count_hashes(docs: DataFrame) -> DataFrame:
+    """(word, c): occurrences of each word's hash in all texts. Task-wise counts are handed on as they fill."""
+
+    def run(batches):
+        word, count = np.zeros(0, dtype=U64), np.zeros(0, dtype=np.int64)
+        for batch in batches:
+            texts = [t or "" for t in batch.column(0).to_pylist()]
+            for lo, hi in pieces(texts):
+                w, c = np.unique(hashes(texts[lo:hi])[0], return_counts=True)
+                word, count = np.concatenate([word, w]), np.concatenate([count, c])
+            if len(word) > HELD:
+                word, at = np.unique(word, return_inverse=True)
+                count = np.bincount(at, weights=count, minlength=len(word)).astype(np.int64)
+                if len(word) > HELD // 2:
+                    yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(count)], ["word", "c"])
+                    word, count = word[:0], count[:0]
+        word, at = np.unique(word, return_inverse=True)
+        count = np.bincount(at, weights=count, minlength=len(word)).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(count)], ["word", "c"])
+
+    return docs.select("text").mapInArrow(run, "word long, c long").groupBy("word").agg(F.sum("c").alias("c"))
+
+
+class Rarity:
+    """Word hashes as longs that sort by rarity: those outside the corpus's head as they are, then the head, rarest first."""
+
+    def __init__(self, head: list[tuple[int, int]]) -> None:
+        word, count = np.array([w for w, _ in head], dtype=np.int64).view(U64), np.array([c for _, c in head], dtype=np.int64)
+        rank = np.empty(len(head), dtype=np.int64)
+        rank[np.lexsort((word, count))] = np.arange(len(head))
+        order = np.argsort(word)
+        self.word, self.key = word[order], rank[order] + (1 << 62)
+
+    def __call__(self, h: np.ndarray) -> np.ndarray:
+        out = (h & U64(_LOW)).astype(np.int64)
+        if len(self.word):
+            at = np.minimum(np.searchsorted(self.word, h), len(self.word) - 1)
+            out = np.where(self.word[at] == h, self.key[at], out)
         return out
 
 
 def lines_of(docs: DataFrame, head, percent: int) -> DataFrame:
     """A row for each line with a word: its place, class, size, bitmap and prefix."""
 
-    def run(frames):
-        ordered = Ordered(head.value)
-        for frame in frames:
-            texts, keys = frame["text"].tolist(), frame[KEY].to_numpy()
-            for lo in range(0, len(texts), 200):
-                words, line, doc, no = [], [], [], []
-                for d in range(lo, min(lo + 200, len(texts))):
-                    for k, text in enumerate((texts[d] or "").split("\n")):
-                        w = words_of(text)
-                        if w:
-                            line.append(len(w))
-                            doc.append(d)
-                            no.append(k)
-                            words += w
-                if not words:
+    def run(batches):
+        rarity = Rarity(head.value)
+        for batch in batches:
+            texts = [t or "" for t in batch.column("text").to_pylist()]
+            for lo, hi in pieces(texts):
+                h, line = hashes(texts[lo:hi])
+                if not len(h):
                     continue
-                at, key = np.repeat(np.arange(len(line)), line), ordered.keys(words)
-                order = np.lexsort((key, at))
-                at, key = at[order], key[order]
-                new = np.concatenate([[True], (at[1:] != at[:-1]) | (key[1:] != key[:-1])])
-                at, key = at[new], key[new]
-                starts = np.searchsorted(at, np.arange(len(line)))
-                n = np.diff(np.append(starts, len(at)))
+                begin = np.cumsum([0] + [t.count("\n") + 1 for t in texts[lo:hi]])
+                key = rarity(h)
+                order = np.argsort(key)
+                near = line[order].astype(np.uint16 if line[-1] < 1 << 16 else np.int64)
+                order = order[np.argsort(near, kind="stable")]
+                line, key = line[order], key[order]
+                new = np.concatenate([[True], (line[1:] != line[:-1]) | (key[1:] != key[:-1])])
+                line, key = line[new], key[new]
+                starts = np.nonzero(np.concatenate([[True], line[1:] != line[:-1]]))[0]
+                n = np.diff(np.append(starts, len(line)))
                 m = mix(key.astype(U64))
                 cls = mix(np.add.reduceat(m, starts) + n.astype(U64)).astype(np.int64)
                 bit = m >> U64(57)
                 one = U64(1) << (bit & U64(63))
                 b1, b2 = (np.bitwise_xor.reduceat(np.where((bit >> U64(6)) == half, one, U64(0)), starts).astype(np.int64) for half in (U64(0), U64(1)))
-                prefix = n + 1 - (-(-percent * n // 100))
-                ids = frame["doc_id"].astype("Int64").iloc[doc]
-                yield pd.DataFrame({KEY: keys[doc], "doc_id": ids.to_numpy(), "line_no": no, "class": cls, "n": n, "b1": b1, "b2": b2, "prefix": pd.Series([key[s : s + p] for s, p in zip(starts, prefix, strict=True)], dtype=object)}).astype({"doc_id": "Int64"})
-
-    return docs.select(KEY, "doc_id", "text").mapInPandas(run, f"{KEY} long, doc_id long, line_no int, class long, n int, b1 long, b2 long, prefix array<long>")
+                size = n + 1 - (-(-percent * n // 100))
+                ends = np.cumsum(size)
+                prefix = key[np.repeat(starts - (ends - size), size) + np.arange(ends[-1])]
+                of = np.searchsorted(begin, line[starts], side="right") - 1
+                rows = pa.array(of + lo)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column(KEY).take(rows),
+                        batch.column("doc_id").take(rows),
+                        pa.array((line[starts] - begin[of]).astype(np.int32)),
+                        pa.array(cls),
+                        pa.array(n.astype(np.int32)),
+                        pa.array(b1),
+                        pa.array(b2),
+                        pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array(prefix)),
+                    ],
+                    [KEY, "doc_id", "line_no", "class", "n", "b1", "b2", "prefix"],
+                )
+
+    return docs.select(KEY, F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, f"{KEY} long, doc_id long, line_no int, class long, n int, b1 long, b2 long, prefix array<long>")
+
+
+#: Places in their order: by doc_id (nulls last), then row, then line.
+PLACE = ["none", "doc_id", KEY, "line_no"]
 
 
 def candidates(rows: DataFrame, percent: int, most: int | None) -> DataFrame:
-    """(x, y, more): for each wanted row, earlier rows of its token group that pass the filters, at most `most` of each
-    token; more says that there may be others.
+    """(x, xl, y, yl, more): for each wanted row, places (row key, line) of earlier rows of its token group that pass the
+    filters, at most `most` of each token; more says that there may be others.
 
-    rows: task, token, class, n, pos, b1, b2, wanted and the order of first places."""
+    rows: task, token, n, pos, b1, b2, wanted and the place."""
 
     def pairs(f: dict[str, np.ndarray]):
         run = np.concatenate([[True], (f["task"][1:] != f["task"][:-1]) | (f["token"][1:] != f["token"][:-1])])
@@ -107,7 +184,8 @@ def candidates(rows: DataFrame, percent: int, most: int | None) -> DataFrame:
             rest = before[i] >= d
             full = given[i] >= most if most else np.zeros(len(i), dtype=bool)
             if len(k):
-                yield pd.DataFrame({"x": f["class"][i[k]], "y": f["class"][j[k]], "more": (full & rest)[k]})
+                x, y = i[k], j[k]
+                yield pd.DataFrame({"x": f[KEY][x], "xl": f["line_no"][x], "y": f[KEY][y], "yl": f["line_no"][y], "more": (full & rest)[k]})
             i = i[rest & ~full]
 
     def run(frames):
@@ -122,15 +200,16 @@ def candidates(rows: DataFrame, percent: int, most: int | None) -> DataFrame:
         if held is not None and len(held):
             yield from pairs({c: held[c].to_numpy() for c in held.columns})
 
-    held = rows.repartition("task", "token").sortWithinPartitions("task", "token", "none", "doc_id", KEY, "line_no")
-    return held.select("task", "token", "class", "n", "pos", "b1", "b2", "wanted").mapInPandas(run, "x long, y long, more boolean").groupBy("x", "y").agg(F.max("more").alias("more"))
+    # tokens differ soonest, so they come first in the order
+    held = rows.repartition("task", "token").sortWithinPartitions("token", "task", *PLACE)
+    found = held.select("task", "token", KEY, "line_no", "n", "pos", "b1", "b2", "wanted").mapInPandas(run, "x long, xl int, y long, yl int, more boolean")
+    return found.groupBy("x", "xl", "y", "yl").agg(F.max("more").alias("more"))
 
 
-def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """The pairs with `same`: whether the words of the two classes' first lines have the Jaccard similarity."""
-    ids = pairs.select(F.col("x").alias("class")).union(pairs.select("y")).distinct()
-    places = small(stage(classes.join(ids, "class", "left_semi").select("class", KEY, "line_no"), "places"))
-    texts = stage(docs.select(KEY, "text").join(places, KEY).select("class", F.get(F.split("text", "\n"), F.col("line_no")).alias("line")), "texts")
+def verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """(x, xl, same, more) of the pairs' places x, xl: whether a pair's words have the Jaccard similarity."""
+    places = small(stage(pairs.select(F.col("x").alias(KEY), F.col("xl").alias("line_no")).union(pairs.select("y", "yl")).distinct(), "places"))
+    texts = stage(docs.select(KEY, F.posexplode(F.split("text", "\n")).alias("line_no", "line")).join(places, [KEY, "line_no"]), "texts")
 
     def run(frames):
         for frame in frames:
@@ -139,39 +218,42 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int
                 s, t = set(words_of(a)), set(words_of(b))
                 both = len(s & t)
                 same.append(100 * both >= percent * (len(s) + len(t) - both))
-            yield frame[["x", "more"]].assign(same=same)
+            yield frame[["x", "xl", "more"]].assign(same=same)
 
-    joined = pairs.join(texts.select(F.col("class").alias("x"), F.col("line").alias("xt")), "x").join(texts.select(F.col("class").alias("y"), F.col("line").alias("yt")), "y")
-    return stage(joined.select("x", "more", "xt", "yt").mapInPandas(run, "x long, more boolean, same boolean").groupBy("x").agg(F.max("same").alias("same"), F.max("more").alias("more")), "verified")
+    named = [texts.toDF(k, k + "l", k + "t") for k in "xy"]
+    joined = pairs.join(named[0], ["x", "xl"]).join(named[1], ["y", "yl"])
+    return stage(joined.select("x", "xl", "more", "xt", "yt").mapInPandas(run, "x long, xl int, more boolean, same boolean").groupBy("x", "xl").agg(F.max("same").alias("same"), F.max("more").alias("more")), "verified")
 
 
 def find(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
-    """(rows with their key, removed (row key, doc_id, line_no)) of docs.
+    """(rows with their key, lines (row key, doc_id, line_no, gone)) of docs.
 
     Order is by doc_id (nulls last), then row, then line. Tokens are words between ASCII white space, A-Z lower-cased;
     lines without words, null and empty texts have none and nothing goes from them. Repeated rows repeat each other's
     lines, so all but the first lose theirs. Other columns are not read."""
     rows = keyed(docs.select("doc_id", "text"))
-    words = stage(count_words(rows.select("text")), "words")
-    head = docs.sparkSession.sparkContext.broadcast([(r["word"], r["c"]) for r in head_of(words, HEAD)[0]])
-    lines = stage(lines_of(rows, head, percent), "lines")
-    place = ["none", "doc_id", KEY, "line_no"]
-    firsts = lines.withColumn("none", F.col("doc_id").isNull()).groupBy("class").agg(F.min(F.struct(*place, "n", "b1", "b2", "prefix")).alias("f"))
-    classes = stage(firsts.select("class", "f.*"), "classes")
-    spread = classes.select("class", *place, "n", "b1", "b2", F.posexplode("prefix").alias("pos", "token"))
-    large = stage(spread.groupBy("token").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks")).where("blocks > 1"), "large")
+    top, least = head_of(stage(count_hashes(rows), "words"), HEAD)
+    top = [(r["word"], r["c"]) for r in top]
+    lines = stage(lines_of(rows, docs.sparkSession.sparkContext.broadcast(top), percent), "lines")
+    firsts = lines.withColumn("none", F.col("doc_id").isNull()).groupBy("class").agg(F.min(F.struct(*PLACE, "n", "b1", "b2", "prefix")).alias("f"))
+    classes = stage(firsts.select("f.*"), "classes")
+    spread = classes.select(*PLACE, "n", "b1", "b2", F.posexplode("prefix").alias("pos", "token"))
+    # a token in so many prefixes occurs as often in the corpus: only such words of the head are counted
+    seldom = (1 << 62) + sum(c <= BLOCK_ROWS for _, c in top) if least <= BLOCK_ROWS else 0
+    large = stage(spread.where(F.col("token") >= seldom).groupBy("token").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks")).where("blocks > 1"), "large")
     spread = spread.join(small(large), "token", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    block = F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")
+    block = F.pmod(F.xxhash64(KEY, "line_no"), F.col("blocks")).cast("int")
     spread = spread.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     spread = spread.withColumn("task", F.least("block", "other") * 65_536 + F.greatest("block", "other")).drop("block", "other", "blocks")
-    first = verified(stage(candidates(spread.withColumn("wanted", F.lit(True)), percent, NEAREST), "near"), classes, rows, percent)
-    again = stage(first.where("more and not same").select(F.col("x").alias("class"), F.lit(True).alias("w")), "again")
+    first = verified(stage(candidates(spread.withColumn("wanted", F.lit(True)), percent, NEAREST), "near"), rows, percent)
+    place = [F.col("x").alias(KEY), F.col("xl").alias("line_no")]
+    again = stage(first.where("more and not same").select(*place, F.lit(True).alias("w")), "again")
     # only groups that hold a class in want: their tokens are few
-    tokens = stage(spread.join(small(again), "class").select("token").distinct(), "tokens")
-    rest = spread.join(small(tokens), "token", "left_semi").join(small(again), "class", "left").withColumn("wanted", F.coalesce("w", F.lit(False))).drop("w")
-    second = verified(stage(candidates(rest, percent, None), "all"), classes, rows, percent)
-    gone = stage(first.where("same").select("x").union(second.where("same").select("x")).distinct().withColumnRenamed("x", "class"), "matched")
-    lead = classes.select(KEY, "line_no", F.lit(True).alias("leads")).join(classes.join(gone, "class", "left_anti").select(KEY, "line_no"), [KEY, "line_no"])
+    tokens = stage(spread.join(small(again), [KEY, "line_no"]).select("token").distinct(), "tokens")
+    rest = spread.join(small(tokens), "token", "left_semi").join(small(again), [KEY, "line_no"], "left").withColumn("wanted", F.coalesce("w", F.lit(False))).drop("w")
+    second = verified(stage(candidates(rest, percent, None), "all"), rows, percent)
+    gone = stage(first.where("same").select(*place).union(second.where("same").select(*place)).distinct(), "matched")
+    lead = classes.select(KEY, "line_no").join(gone, [KEY, "line_no"], "left_anti").withColumn("leads", F.lit(True))
     return rows, lines.select(KEY, "doc_id", "line_no").join(lead, [KEY, "line_no"], "left").withColumn("gone", F.col("leads").isNull())
 
 
