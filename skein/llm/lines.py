@@ -24,6 +24,8 @@ from .shingles import U64, mix, words_of
 PERCENT, HEAD, NEAREST, BLOCK_ROWS = 80, 100_000, 2, 50_000
 #: Characters of the texts that are cut at once, and distinct words that a counting task holds.
 CHARS, HELD = 1_000_000, 1_000_000
+#: Rows of token groups that are joined at once.
+BATCH_ROWS = 200_000
 _LOW = (1 << 62) - 1
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[list(b" \t\n\r\x0b\x0c")] = True
@@ -166,8 +168,14 @@ def candidates(rows: DataFrame, percent: int, most: int | None) -> DataFrame:
 
     rows: task, token, n, pos, b1, b2, wanted and the place."""
 
-    def pairs(f: dict[str, np.ndarray]):
-        run = np.concatenate([[True], (f["task"][1:] != f["task"][:-1]) | (f["token"][1:] != f["token"][:-1])])
+    def pairs(rows: pa.Table):
+        task, token = rows.column("task").to_numpy(), rows.column("token").to_numpy()
+        run = np.concatenate([[True], (task[1:] != task[:-1]) | (token[1:] != token[:-1])])
+        alone = run & np.append(run[1:], True)
+        run = run[~alone]
+        if not len(run):
+            return
+        f = {c: rows.column(c).to_numpy()[~alone] for c in rows.column_names[2:]}
         before = np.arange(len(run)) - np.maximum.accumulate(np.where(run, np.arange(len(run)), 0))
         i, d = np.nonzero(f["wanted"] & (before > 0))[0], 1
         given = np.zeros(len(run), dtype=np.int32)
@@ -185,24 +193,32 @@ def candidates(rows: DataFrame, percent: int, most: int | None) -> DataFrame:
             full = given[i] >= most if most else np.zeros(len(i), dtype=bool)
             if len(k):
                 x, y = i[k], j[k]
-                yield pd.DataFrame({"x": f[KEY][x], "xl": f["line_no"][x], "y": f[KEY][y], "yl": f["line_no"][y], "more": (full & rest)[k]})
+                out = [f[KEY][x], f["line_no"][x], f[KEY][y], f["line_no"][y], (full & rest)[k]]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in out], ["x", "xl", "y", "yl", "more"])
             i = i[rest & ~full]
 
-    def run(frames):
-        held = None
-        for frame in frames:
-            frame = frame if held is None else pd.concat([held, frame], ignore_index=True)
-            last = (frame["task"] == frame["task"].iloc[-1]) & (frame["token"] == frame["token"].iloc[-1])
-            cut = int((~last).sum())  # rows are sorted: the last group may go on in the next batch
-            held, frame = frame.iloc[cut:], frame.iloc[:cut]
-            if len(frame):
-                yield from pairs({c: frame[c].to_numpy() for c in frame.columns})
-        if held is not None and len(held):
-            yield from pairs({c: held[c].to_numpy() for c in held.columns})
+    def run(batches):
+        held, size = [], 0
+        for batch in batches:
+            held.append(batch)
+            size += batch.num_rows
+            if size < BATCH_ROWS:
+                continue
+            rows = pa.Table.from_batches(held)
+            task, token = rows.column("task").to_numpy(), rows.column("token").to_numpy()
+            # rows are sorted: the last group may go on in the next batch
+            cut = int(((task != task[-1]) | (token != token[-1])).sum())
+            if cut:
+                yield from pairs(rows.slice(0, cut))
+            # a group that goes on is looked at again when it has doubled
+            rest = rows.slice(cut)
+            held, size = rest.to_batches(), 0 if cut else -rest.num_rows
+        if held:
+            yield from pairs(pa.Table.from_batches(held))
 
     # tokens differ soonest, so they come first in the order
     held = rows.repartition("task", "token").sortWithinPartitions("token", "task", *PLACE)
-    found = held.select("task", "token", KEY, "line_no", "n", "pos", "b1", "b2", "wanted").mapInPandas(run, "x long, xl int, y long, yl int, more boolean")
+    found = held.select("task", "token", KEY, "line_no", "n", "pos", "b1", "b2", "wanted").mapInArrow(run, "x long, xl int, y long, yl int, more boolean")
     return found.groupBy("x", "xl", "y", "yl").agg(F.max("more").alias("more"))
 
 
