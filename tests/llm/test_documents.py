@@ -167,6 +167,22 @@ def test_lm_learns():
     assert lm.gradient(lm.train_on(lm.start(), seqs, 6), x, valid, t)[0] < before / 2
 
 
+def test_lm_trains_on_whole_texts(spark):
+    ranks = spark.sparkContext.broadcast(lm.load_ranks())
+    encode = lm.Subwords(ranks.value)
+    cls, _ = lm.classify(np.random.default_rng(2).random(encode.end + 1))
+    texts = [" ".join(f"word{i}" for i in range(3000)), "x" * 5000, "a b", None]
+    d = spark.createDataFrame([(t, False) for t in texts * 3], "text string, held_out boolean")
+    want = Counter(tuple(cls[[*(i for w in lm.words_of(t) for i in encode(w)), encode.end]]) for t in texts * 3)
+    got = [np.frombuffer(r["classes"], dtype=np.uint8) for r in lm.sequences(d, ranks, cls).collect()]
+    assert Counter(tuple(s) for s in got) == want
+    whole = lm.chunks(got)
+    for size in (7, 64, 10**6):
+        parts = list(lm.buffers(iter(got), size))
+        assert all(len(x) == size for x, _, _ in parts[:-1])
+        assert all((np.concatenate(a) == b).all() for a, b in zip(zip(*parts, strict=True), whole, strict=True))
+
+
 def test_warc(spark):
     pages = [(3, "u3", "<p>é</p>"), (1, "u1", "<p>é</p>"), (2, None, None), (4, "u 4", ""), (5, "u5", "a\r\n\r\nWARC/1.1\r\n\r\n"), (6, "u6", "tail\r\n"), (None, "n", "<p>é</p>"), (1, "u1", "<p>é</p>"), (7, "u7", "z" * 70_000)]
     got = warc.round_trip(spark.createDataFrame([(*p, 1) for p in pages], "page_id long, url string, html string, payload long").repartition(2)).collect()
