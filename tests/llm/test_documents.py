@@ -183,6 +183,15 @@ def test_lm_trains_on_whole_texts(spark):
         assert all((np.concatenate(a) == b).all() for a, b in zip(zip(*parts, strict=True), whole, strict=True))
 
 
+@pytest.mark.parametrize("texts", [1, 39, 40, 205])
+def test_lm_epochs_do_not_depend_on_size(monkeypatch, texts):
+    runs = []
+    monkeypatch.setattr(lm, "BUFFER", 40)
+    monkeypatch.setattr(lm, "fit", lambda p, x, valid, t, epochs, rate: runs.append((len(x), epochs)) or p)
+    assert lm.pass_over(lm.start(), iter([np.arange(1, 17)] * texts), 0.01)[1] == texts
+    assert runs == [(n, lm.EPOCHS) for n in [40] * (texts // 40) + [texts % 40] * (texts % 40 > 0)]
+
+
 def test_warc(spark):
     pages = [(3, "u3", "<p>é</p>"), (1, "u1", "<p>é</p>"), (2, None, None), (4, "u 4", ""), (5, "u5", "a\r\n\r\nWARC/1.1\r\n\r\n"), (6, "u6", "tail\r\n"), (None, "n", "<p>é</p>"), (1, "u1", "<p>é</p>"), (7, "u7", "z" * 70_000)]
     got = warc.round_trip(spark.createDataFrame([(*p, 1) for p in pages], "page_id long, url string, html string, payload long").repartition(2)).collect()
