@@ -1,6 +1,7 @@
 """The corpus pipeline: quality rules, near-duplicates, benchmark passages, mixing, sharding.
 
-Each stage works on all rows that the one before kept; run() writes each stage's result to the shared folder.
+Each stage works on all rows that the one before kept; run() writes each stage's result to the shared folder. Slots of
+a shard are numbered in the mixed order, so the first slots of all shards follow the target weights.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return sharding.shard(docs)
+    return sharding.shard(docs, ordered=True)
 
 
 STAGES = [("quality", quality_rules), ("near_duplicates", near_duplicates), ("decontamination", benchmark_passages), ("mixing", mixed_sources), ("sharding", shards)]

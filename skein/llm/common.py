@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 #: Rows up to which a two- or three-column key table is broadcast; larger ones are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
-KEY = "__row_key"
+KEY, FILE, ROW = "__row_key", "__file", "__row"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,6 +60,19 @@ def keyed(df: DataFrame) -> DataFrame:
         return stage(df, "rows").withColumn(KEY, F.xxhash64("_metadata.file_path", "_metadata.row_index"))
 
 
+def in_place(df: DataFrame) -> DataFrame:
+    """df with FILE and ROW, each row's place in the staged table: parts by name, then rows by position.
+
+    Other frames are staged first, in the order of their partitions."""
+    place = {FILE: F.col("_metadata.file_path"), ROW: F.col("_metadata.row_index")}
+    try:
+        out = df.withColumns(place)
+        out.schema  # noqa: B018  analysis happens here
+        return out
+    except AnalysisException:
+        return stage(df, "rows").withColumns(place)
+
+
 def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """A broadcast hint for a staged key table of at most `limit` rows; a larger one stays as it is, for a shuffled join."""
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df

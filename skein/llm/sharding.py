@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import clashing, stage, table
+from .common import FILE, ROW, clashing, in_place, stage, table
 
 SHARDS, VNODES = 24, 64
 CELL_BITS = 14
@@ -45,15 +45,17 @@ def arcs_of(keys: DataFrame, nodes: DataFrame, shards: int, vnodes: int) -> Data
     return out.withColumn("arc", ((F.col("base") + below) % (shards * vnodes)).cast("int")).drop("cell", "base", "points")
 
 
-def shard(docs: DataFrame, shards: int = SHARDS, vnodes: int = VNODES) -> DataFrame:
+def shard(docs: DataFrame, shards: int = SHARDS, vnodes: int = VNODES, ordered: bool = False) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard for each row.
 
     A null text has size 8 and the CRC of nothing. A null doc_id is keyed by the text's CRC and size, so many such
     rows do not meet at one place. Rows that repeat take neighbouring slots. An empty table gives no rows. Other
-    columns are not read."""
+    columns are not read. `ordered` numbers the slots of each shard in the order of docs' rows, as staged."""
     spark = docs.sparkSession
+    place = [FILE, ROW] if ordered else []
+    docs = in_place(clashing(docs, FILE, ROW)) if ordered else docs
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select("doc_id", (F.octet_length(text).cast("long") + 8).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
+    rows = docs.select("doc_id", (F.octet_length(text).cast("long") + 8).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), *place)
     key = F.when(F.col("doc_id").isNull(), F.xxhash64("text_crc32", "size")).otherwise(F.xxhash64("doc_id"))
     rows = rows.withColumn("pos", _hash(F.lit("key"), key))
     nodes = stage(ring(spark, shards, vnodes).coalesce(1), "ring")
@@ -61,10 +63,11 @@ def shard(docs: DataFrame, shards: int = SHARDS, vnodes: int = VNODES) -> DataFr
     counts = stage(rows.groupBy("arc").agg(F.count("*").alias("c")).coalesce(1), "arcs")
     segments = stage(plan(counts, nodes, shards, vnodes).coalesce(1), "segments")
     # ties in pos are ties in doc_id; equal rows may swap their slots, which changes nothing
-    rank = F.row_number().over(Window.partitionBy("arc").orderBy("pos", "doc_id", "text_crc32", "size")) - 1
+    rank = F.row_number().over(Window.partitionBy("arc").orderBy("pos", "doc_id", "text_crc32", "size", *place)) - 1
     placed = rows.withColumn("rank", rank.cast("long"))
     out = placed.join(F.broadcast(segments), (placed.arc == segments.seg_arc) & (placed["rank"] >= segments.lo) & (placed["rank"] < segments.hi))
-    return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", (F.col("slot0") + F.col("rank") - F.col("lo")).alias("slot"), F.lit(None).cast("int").alias("grown_shard"), F.col("home_shard"))
+    slot = (F.row_number().over(Window.partitionBy("shard").orderBy(*place)) - 1).cast("long") if ordered else F.col("slot0") + F.col("rank") - F.col("lo")
+    return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", slot.alias("slot"), F.lit(None).cast("int").alias("grown_shard"), F.col("home_shard"))
 
 
 def plan(counts: DataFrame, nodes: DataFrame, shards: int, vnodes: int) -> DataFrame:

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from skein.llm import decontaminate, jaccard, lines, mixing, quality, sharding
-from skein.llm.common import components
+from skein.llm.common import components, stage
 from skein.llm.shingles import words_of
 
 
@@ -157,6 +157,26 @@ def test_deviation_below_one_block(weights):
             assert abs(mixing.deviation(t, sum(x < t for x in slots[s]), w, total)) < 1
 
 
+def test_shards_keep_the_mixed_order(spark, docs):
+    import corpus_pipeline as cp
+
+    source = F.concat(F.lit("src"), (F.col("id") / 2000).cast("int"))
+    rows = spark.range(8000).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"), source.alias("source"))
+    position = {r["doc_id"]: r["position"] for r in mixing.order(rows, mixing.WEIGHTS).collect()}
+    mixed = stage(cp.mixed_sources(spark, rows, ""), "mixed")
+    got = cp.shards(spark, mixed, "").collect()
+    assert {(r["doc_id"], r["shard"]) for r in got} == {(r["doc_id"], r["shard"]) for r in sharding.shard(rows).collect()}
+    by_shard = {}
+    for r in sorted(got, key=lambda r: (r["shard"], r["slot"])):
+        by_shard.setdefault(r["shard"], []).append(r)
+    for held in by_shard.values():
+        assert [r["slot"] for r in held] == list(range(len(held)))
+        assert [position[r["doc_id"]] for r in held] == sorted(position[r["doc_id"]] for r in held)
+    first = Counter(r["doc_id"] // 2000 for r in got if r["slot"] < 60)
+    assert all(abs(first[i] / first.total() - (1 + i) / 10) < 0.04 for i in range(4))
+    assert cp.shards(spark, docs, "").count() == docs.count()
+
+
 def test_pipeline(spark, tmp_path, docs, benchmark):
     import corpus_pipeline as cp
 
