@@ -174,7 +174,7 @@ def test_lm_trains_on_whole_texts(spark):
     texts = [" ".join(f"word{i}" for i in range(3000)), "x" * 5000, "a b", None]
     d = spark.createDataFrame([(t, False) for t in texts * 3], "text string, held_out boolean")
     want = Counter(tuple(cls[[*(i for w in lm.words_of(t) for i in encode(w)), encode.end]]) for t in texts * 3)
-    got = [np.frombuffer(r["classes"], dtype=np.uint8) for r in lm.sequences(d, ranks, cls).collect()]
+    got = [np.frombuffer(r["classes"], dtype=np.uint16) for r in lm.sequences(d, ranks, cls).collect()]
     assert Counter(tuple(s) for s in got) == want
     whole = lm.chunks(got)
     for size in (7, 64, 10**6):
@@ -184,12 +184,42 @@ def test_lm_trains_on_whole_texts(spark):
 
 
 @pytest.mark.parametrize("texts", [1, 39, 40, 205])
-def test_lm_epochs_do_not_depend_on_size(monkeypatch, texts):
+def test_lm_passes_do_not_depend_on_size(monkeypatch, texts):
     runs = []
     monkeypatch.setattr(lm, "BUFFER", 40)
-    monkeypatch.setattr(lm, "fit", lambda p, x, valid, t, epochs, rate: runs.append((len(x), epochs)) or p)
+    monkeypatch.setattr(lm.Adam, "__call__", lambda self, x, valid, t, epochs, rate: runs.append((len(x), epochs)))
     assert lm.pass_over(lm.start(), iter([np.arange(1, 17)] * texts), 0.01)[1] == texts
-    assert runs == [(n, lm.EPOCHS) for n in [40] * (texts // 40) + [texts % 40] * (texts % 40 > 0)]
+    assert runs == [(n, 1) for n in [40] * (texts // 40) + [texts % 40] * (texts % 40 > 0)]
+    assert lm.ROUNDS[-1][0] == 1
+
+
+def plain_attention(p, seq):
+    """Natural log of a class sequence's probability, one target after another."""
+    soft = lambda y: y - np.log(np.exp(y).sum())
+    inputs, total = [0, *seq[:-1]], 0.0
+    for i, want in enumerate(seq):
+        keys = range(max(0, i // lm.STRIDE - 1) * lm.STRIDE, i + 1)
+        q = p["E"][inputs[i]] @ p["Q"]
+        w = np.array([q @ (p["E"][inputs[j]] @ p["K"]) / lm.DIM**0.5 + p["b"][i - j] for j in keys])
+        w = np.exp(w - w.max())
+        h = np.tanh(sum(a * (p["E"][inputs[j]] @ p["V"]) for a, j in zip(w / w.sum(), keys, strict=True)) + p["E"][inputs[i]] @ p["R"])
+        group, member = want % lm.GROUPS, want // lm.GROUPS
+        total += soft(h @ p["A"] + p["a"])[group] + soft(h @ p["B"][group] + p["c"][group])[member]
+    return total
+
+
+def test_lm_score_is_plain_attention(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    p = {k: rng.normal(0, 0.5, s) for k, s in lm.SHAPES.items()}
+    held = {}
+    monkeypatch.setattr(lm, "train", lambda seqs, mass: p)
+    monkeypatch.setattr(lm, "classify", lambda counts, plain=lm.classify: held.setdefault("c", plain(counts)))
+    texts = [(1, "the cat sat on the mat " * 12), (2, "unseen wörds 123"), (3, None), (4, "dog"), (10, "the cat's dog")]
+    got = {r["doc_id"]: r["score"] for r in lm.score(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    encode, (cls, within) = lm.Subwords(lm.load_ranks()), held["c"]
+    for i, t in texts:
+        ids = [*(x for w in lm.words_of(t) for x in encode(w)), encode.end]
+        assert got[i] == pytest.approx(plain_attention(p, cls[ids]) / math.log(10) + within[ids].sum(), rel=1e-4)
 
 
 def test_warc(spark):
