@@ -5,34 +5,58 @@ ceil((k + 1) / w); in each slot the released block that is due first is taken. T
 schedule repeats after as many slots as they sum to, and one period of it (a table of at most MAX_PERIOD slots) places
 every block, wherever its rows are. When a source has no blocks left, a new phase begins for the others. Within a phase
 no source is ever a block or more away from its share.
+
+Sources without a target weight, however many, are mixed in one pool, which has a target weight of its own and is
+scheduled as one source; its rows are in the order of a hash, so each source of the pool keeps its share of it. Rows
+without a source are one source more.
 """
 
 from __future__ import annotations
 
+import heapq
+import math
 from fractions import Fraction
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import stage, table
 
-BLOCK_ROWS, BUCKETS, MAX_PERIOD, MAX_SOURCES = 16, 512, 4096, 256
-#: Target weights of the sources that the corpus has; a source that is not listed has weight 1.
+BLOCK_ROWS, BUCKETS = 16, 512
+#: The finest weight that can be given, as a share: weights, divided by their common divisor, sum to at most this.
+MAX_PERIOD = 4096
+#: Target weights of the sources; all others are mixed in a pool of weight POOL_WEIGHT, and so weighs the null source.
 WEIGHTS = {f"src{i}": 1 + i % 4 for i in range(20)}
-_NONE = "\x00none"
+POOL_WEIGHT = 1
+_NONE, _POOL = "\x00none", "\x00pool"
 RESULTS = {"source_rank": "long", "block": "long", "slot": "long", "release": "long", "deadline": "long", "phase": "int", "position": "long"}
 
 
 def period(weights: dict[str, int]) -> dict[str, list[int]]:
     """The slots of each source's blocks in one period, taken by earliest deadline among the released."""
-    total = sum(weights.values())
+    return {s: list(x) for s, x in _period(tuple(sorted(weights.items()))).items()}
+
+
+@lru_cache(maxsize=1024)
+def _period(weights: tuple[tuple[str, int], ...]) -> dict[str, tuple[int, ...]]:
+    common = math.gcd(*(w for _, w in weights))
+    held = {s: w // common for s, w in weights}
+    total = sum(held.values())
     if total > MAX_PERIOD:
         raise ValueError(f"the weights sum to {total}; at most {MAX_PERIOD} is allowed")
-    slots: dict[str, list[int]] = {s: [] for s in weights}
+    slots: dict[str, list[int]] = {s: [] for s in held}
+    waiting, ready = [(0, s) for s in held], []
+    heapq.heapify(waiting)
     for t in range(total):
-        ready = [(-(-(len(got) + 1) * total // weights[s]), -weights[s], s) for s, got in slots.items() if len(got) * total // weights[s] <= t and len(got) < weights[s]]
-        slots[min(ready)[2]].append(t)
-    return slots
+        while waiting and waiting[0][0] <= t:
+            s = heapq.heappop(waiting)[1]
+            heapq.heappush(ready, (-(-(len(slots[s]) + 1) * total // held[s]), -held[s], s))
+        s = heapq.heappop(ready)[2]
+        slots[s].append(t)
+        if len(slots[s]) < held[s]:
+            heapq.heappush(waiting, (len(slots[s]) * total // held[s], s))
+    return {s: tuple(x + total * i for i in range(common) for x in slots[s]) for s in held}
 
 
 def phases(blocks: dict[str, int], weights: dict[str, int]) -> list[tuple[int, dict[str, int], dict[str, int]]]:
@@ -64,20 +88,20 @@ def order(docs: DataFrame, weights: dict[str, int], block_rows: int = BLOCK_ROWS
 def _placed(docs: DataFrame, weights: dict[str, int], block_rows: int) -> DataFrame:
     """(__row: docs' columns) with source_rank, block, slot, release, deadline (within the phase), phase and position (from 0, gapless).
 
-    Null sources count as one source of their own, of weight 1; null ids come first within a source, and rows that
-    repeat take places next to one another. A source is ranked in BUCKETS parts, so one that holds most rows is spread
-    over as many tasks. An empty table gives no rows. More than MAX_SOURCES sources, or weights below 1, are an error."""
+    source_rank and block count within a weighted source, the null one or the pool; null ids come first within a part of
+    a source, and rows that repeat take places next to one another. A source is ranked in BUCKETS
+    parts, so one that holds most rows is spread over as many tasks. An empty table gives no rows. Weights that are not
+    whole numbers of 1 or more, or finer than MAX_PERIOD, are an error."""
     spark = docs.sparkSession
     docs = docs.select(F.struct(*docs.columns).alias("__row"), "doc_id", "source", *[c for c in ("text",) if c in docs.columns])
-    source = F.coalesce(F.col("source"), F.lit(_NONE))
-    rows = docs.withColumns({"__s": F.hex(F.encode(source, "utf-8")), "__b": F.pmod(F.xxhash64("doc_id", F.crc32(F.coalesce("text", F.lit("")).cast("binary")) if "text" in docs.columns else F.lit(0)), F.lit(BUCKETS)).cast("int")})
-    counts = stage(rows.groupBy("__s", "__b").agg(F.count("*").alias("n")).coalesce(1), "counts")
-    totals = {r["__s"]: r["n"] for r in counts.groupBy("__s").agg(F.sum("n").alias("n")).limit(MAX_SOURCES + 1).collect()}
-    if len(totals) > MAX_SOURCES:
-        raise ValueError(f"there are more than {MAX_SOURCES} sources")
     if any(w < 1 or w != int(w) for w in weights.values()):
         raise ValueError("weights are whole numbers of 1 or more")
-    own = {s: int(weights.get(bytes.fromhex(s).decode(), 1)) for s in totals}
+    known = F.col("source").isin(list(weights)) if weights else F.lit(False)
+    source = F.when(F.col("source").isNull(), F.lit(_NONE)).when(known, F.col("source")).otherwise(F.lit(_POOL))
+    rows = docs.withColumns({"__s": F.hex(F.encode(source, "utf-8")), "__b": F.pmod(F.xxhash64("doc_id", "source", F.crc32(F.coalesce("text", F.lit("")).cast("binary")) if "text" in docs.columns else F.lit(0)), F.lit(BUCKETS)).cast("int")})
+    counts = stage(rows.groupBy("__s", "__b").agg(F.count("*").alias("n")).coalesce(1), "counts")
+    totals = {r["__s"]: r["n"] for r in counts.groupBy("__s").agg(F.sum("n").alias("n")).collect()}  # one row a weight
+    own = {s: int(weights.get(bytes.fromhex(s).decode(), POOL_WEIGHT)) for s in totals}
     plan = phases({s: -(-n // block_rows) for s, n in totals.items()}, own)
     if not plan:
         return docs.withColumns({c: F.lit(None).cast(t) for c, t in RESULTS.items()}).limit(0)
@@ -139,5 +163,6 @@ def mix(docs: DataFrame, weights: dict[str, int] | None = None) -> DataFrame:
 
 
 def op8_mixing(spark, sf_dir: str) -> DataFrame:
+    """A place for each row of documents; null ids and sources have theirs, and an empty table gives no rows."""
     placed = order(table(spark, sf_dir, "documents").select("doc_id", "source"), WEIGHTS)
     return placed.select("doc_id", "source", "block", "slot", "release", "deadline", "phase", "position")

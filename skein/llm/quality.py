@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 from .common import stage, table
 
+#: Words whose places fit a window's code; a longer text's windows are compared by their words.
+MAX_PLACES = 1 << 20
 SPACE = "[ \\t-\\r]+"
 #: Frequent function words of the corpus's languages.
 FUNCTION_WORDS = ("the", "of", "and", "to", "in", "is", "that", "der", "die", "und", "das", "ist", "nicht", "de", "la", "le", "et", "les", "que", "el", "los", "y", "en", "del")
@@ -49,9 +51,16 @@ def features(docs: DataFrame, text: str = "text") -> DataFrame:
     pairs = F.filter(steps, lambda i: hash_of(F.get("codes", i)) == hash_of(F.get("codes", i - 1)))
     d = d.withColumn("twins", F.when(F.size("codes") < 2, F.array().cast("array<int>")).otherwise(pairs))
     same = lambda p, q: (F.get("w", p) == F.get("w", q)) & (F.get("w", p + 1) == F.get("w", q + 1)) & (F.get("w", p + 2) == F.get("w", q + 2))
-    clash = F.exists("twins", lambda i: ~same(place(F.get("codes", i)), place(F.get("codes", i - 1)))) | (F.col("n_words") > (1 << 20))
+    clash = F.exists("twins", lambda i: ~same(place(F.get("codes", i)), place(F.get("codes", i - 1)))) | (F.col("n_words") > MAX_PLACES)
     starts = F.array_distinct(F.flatten(F.transform("twins", lambda i: F.array(place(F.get("codes", i)), place(F.get("codes", i - 1))))))
-    d = d.withColumn("starts", F.when(clash, _exact_starts()).otherwise(F.sort_array(starts)))
+    # the windows themselves in order, where their hashes do not do: a column of its own, so it is sorted once
+    window = lambda i: F.struct(F.get("w", i).alias("a"), F.get("w", i + 1).alias("b"), F.get("w", i + 2).alias("c"), i.alias("i"))
+    sorted_ = F.sort_array(F.transform(F.sequence(F.lit(0), F.col("n_words") - 3), window))
+    d = d.withColumn("exact", F.when(clash & (F.col("n_words") >= 4), sorted_))
+    equal = lambda x, y: (x["a"] == y["a"]) & (x["b"] == y["b"]) & (x["c"] == y["c"])
+    twice = F.filter(F.sequence(F.lit(1), F.size("exact") - 1), lambda i: equal(F.get("exact", i), F.get("exact", i - 1)))
+    exact = F.array_distinct(F.flatten(F.transform(twice, lambda i: F.array(F.get("exact", i)["i"], F.get("exact", i - 1)["i"]))))
+    d = d.withColumn("starts", F.sort_array(F.when(F.col("exact").isNotNull(), exact).otherwise(starts)))
     covered = F.aggregate("starts", F.struct(F.lit(0).cast("long").alias("n"), F.lit(-3).alias("last")), lambda a, p: F.struct((a["n"] + F.least(F.lit(3), p - a["last"])).alias("n"), p.alias("last")))["n"]
     lines = F.filter(F.split(t, "\n"), lambda x: x.rlike("[^ \\t-\\r]"))
     d = d.withColumn("n_repeat_words", covered).withColumn("lines", lines)
@@ -59,16 +68,7 @@ def features(docs: DataFrame, text: str = "text") -> DataFrame:
     d = d.withColumn("word_chars", F.length(F.array_join("w", "")).cast("long")).withColumn("n_symbols", (F.length(t) - F.length(F.regexp_replace(t, "[#*$%&|<>]", ""))).cast("long"))
     d = d.withColumn("n_function", F.size(F.filter(F.array_distinct("w"), lambda w: w.isin(*FUNCTION_WORDS))))
     d = d.withColumn("n_upper", F.length(t) - F.length(F.regexp_replace(t, "[A-Z]", "")))
-    return d.withColumn("n_words", F.col("n_words").cast("long")).drop("w", "codes", "twins", "starts", "lines")
-
-
-def _exact_starts() -> Column:
-    """The starts of repeated windows, comparing the windows' own words."""
-    window = lambda i: F.struct(F.get("w", i).alias("a"), F.get("w", i + 1).alias("b"), F.get("w", i + 2).alias("c"), i.alias("i"))
-    all_ = F.array_sort(F.transform(F.sequence(F.lit(0), F.size("w") - 3), window))
-    eq = lambda i, j: (F.get(all_, i)["a"] == F.get(all_, j)["a"]) & (F.get(all_, i)["b"] == F.get(all_, j)["b"]) & (F.get(all_, i)["c"] == F.get(all_, j)["c"])
-    twice = F.filter(F.sequence(F.lit(1), F.size("w") - 3), lambda i: eq(i, i - 1))
-    return F.sort_array(F.array_distinct(F.flatten(F.transform(twice, lambda i: F.array(F.get(all_, i)["i"], F.get(all_, i - 1)["i"])))))
+    return d.withColumn("n_words", F.col("n_words").cast("long")).drop("w", "codes", "twins", "exact", "starts", "lines")
 
 
 def votes() -> list[tuple[str, Column]]:
@@ -138,7 +138,8 @@ def _patterns(voted: DataFrame, rules: list[str]) -> DataFrame:
 def judge(docs: DataFrame) -> DataFrame:
     """doc_id, the statistics, base_failed, kept and quality (the posterior) for each row; one scan of the texts.
 
-    Null ids stay null and repeated rows repeat. Columns of docs besides doc_id and text are not read."""
+    Null ids stay null and repeated rows repeat. An empty table gives no rows. Columns of docs besides doc_id and text
+    are not read."""
     voted, rules = _voted(docs.select("doc_id", "text"))
     held = stage(voted.drop("text"), "quality")
     p = posterior(*fit(_patterns(held, rules), rules))
@@ -159,4 +160,5 @@ def keep_good(docs: DataFrame) -> DataFrame:
 
 
 def op6_quality(spark, sf_dir: str) -> DataFrame:
+    """judge() over all documents; a null or empty text has no words, fails the base rule and is not kept."""
     return judge(table(spark, sf_dir, "documents"))

@@ -14,10 +14,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import FILE, ROW, clashing, in_place, stage, table
+from .common import FILE, ROW, clashing, in_place, small, stage, table
 
 SHARDS, VNODES = 24, 64
 CELL_BITS = 14
+#: Parts of an arc, by hash, in which its rows are ranked; so rows of one repeated doc_id do not meet in one task.
+PARTS = 64
 
 
 def _hash(*cols) -> F.Column:
@@ -45,29 +47,31 @@ def arcs_of(keys: DataFrame, nodes: DataFrame, shards: int, vnodes: int) -> Data
     return out.withColumn("arc", ((F.col("base") + below) % (shards * vnodes)).cast("int")).drop("cell", "base", "points")
 
 
-def shard(docs: DataFrame, shards: int = SHARDS, vnodes: int = VNODES, ordered: bool = False) -> DataFrame:
-    """doc_id, size, text_crc32, law, shard, slot, grown_shard for each row.
+def shard(docs: DataFrame, shards: int = SHARDS, vnodes: int = VNODES, place: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, size, text_crc32, law, shard, slot, grown_shard and home_shard for each row, and the columns of `place`.
 
     A null text has size 8 and the CRC of nothing. A null doc_id is keyed by the text's CRC and size, so many such
     rows do not meet at one place. Rows that repeat take neighbouring slots. An empty table gives no rows. Other
-    columns are not read. `ordered` numbers the slots of each shard in the order of docs' rows, as staged."""
+    columns are not read. A shard's room is dealt over its points beforehand, so a key that its shard has no place for
+    may pass points of shards whose room lies elsewhere on the ring."""
     spark = docs.sparkSession
-    place = [FILE, ROW] if ordered else []
-    docs = in_place(clashing(docs, FILE, ROW)) if ordered else docs
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select("doc_id", (F.octet_length(text).cast("long") + 8).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), *place)
     key = F.when(F.col("doc_id").isNull(), F.xxhash64("text_crc32", "size")).otherwise(F.xxhash64("doc_id"))
-    rows = rows.withColumn("pos", _hash(F.lit("key"), key))
+    rows = rows.withColumn("pos", _hash(F.lit("key"), key)).withColumn("part", F.pmod(F.xxhash64("doc_id", "text_crc32", "size"), F.lit(PARTS)).cast("int"))
     nodes = stage(ring(spark, shards, vnodes).coalesce(1), "ring")
     rows = arcs_of(rows, nodes, shards, vnodes)
-    counts = stage(rows.groupBy("arc").agg(F.count("*").alias("c")).coalesce(1), "arcs")
-    segments = stage(plan(counts, nodes, shards, vnodes).coalesce(1), "segments")
+    # at most PARTS rows a point
+    parts = stage(rows.groupBy("arc", "part").agg(F.count("*").alias("c")).coalesce(1), "parts")
+    segments = stage(plan(parts.groupBy("arc").agg(F.sum("c").alias("c")), nodes, shards, vnodes).coalesce(1), "segments")
+    before = Window.partitionBy("arc").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = parts.select("arc", "part", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("from"))
     # ties in pos are ties in doc_id; equal rows may swap their slots, which changes nothing
-    rank = F.row_number().over(Window.partitionBy("arc").orderBy("pos", "doc_id", "text_crc32", "size", *place)) - 1
-    placed = rows.withColumn("rank", rank.cast("long"))
+    rank = F.row_number().over(Window.partitionBy("arc", "part").orderBy("pos", "doc_id", "text_crc32", "size", *place)) - 1
+    placed = rows.withColumn("in_part", rank.cast("long")).join(F.broadcast(offsets), ["arc", "part"]).withColumn("rank", F.col("from") + F.col("in_part"))
     out = placed.join(F.broadcast(segments), (placed.arc == segments.seg_arc) & (placed["rank"] >= segments.lo) & (placed["rank"] < segments.hi))
-    slot = (F.row_number().over(Window.partitionBy("shard").orderBy(*place)) - 1).cast("long") if ordered else F.col("slot0") + F.col("rank") - F.col("lo")
-    return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", slot.alias("slot"), F.lit(None).cast("int").alias("grown_shard"), F.col("home_shard"))
+    slot = F.col("slot0") + F.col("rank") - F.col("lo")
+    return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", slot.alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "home_shard", *place)
 
 
 def plan(counts: DataFrame, nodes: DataFrame, shards: int, vnodes: int) -> DataFrame:
@@ -105,10 +109,24 @@ def plan(counts: DataFrame, nodes: DataFrame, shards: int, vnodes: int) -> DataF
     return stay.union(moved)
 
 
-def shard_documents(docs: DataFrame, shards: int = SHARDS, vnodes: int = VNODES) -> DataFrame:
-    """As `shard`; the name the pipeline uses. Columns of docs named like the results do not matter."""
-    return shard(clashing(docs, "size", "shard", "slot", "law", "grown_shard"), shards, vnodes)
+def shard_in_order(docs: DataFrame, shards: int = SHARDS, vnodes: int = VNODES) -> DataFrame:
+    """docs' rows, texts included, with size, text_crc32, law, shard, slot, grown_shard and home_shard.
+
+    Slots of a shard are numbered in the order of docs' rows, as staged: files by name, then rows. A row's slot is its
+    rank among its file's rows of the shard, behind those of earlier files, so no task holds a whole shard; the texts
+    are shuffled once, when they are joined with their places. Columns of docs that are named like the results give way.
+    An empty table gives no rows."""
+    names = ("size", "text_crc32", "law", "shard", "slot", "grown_shard", "home_shard")
+    rows = in_place(clashing(docs, FILE, ROW, *names))
+    placed = stage(shard(rows, shards, vnodes, (FILE, ROW)).drop("slot", "doc_id"), "places")
+    held = placed.groupBy("shard", FILE).agg(F.count("*").alias("n"))
+    before = Window.partitionBy("shard").orderBy(FILE).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = stage(held.select("shard", FILE, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("from")), "offsets")
+    rank = F.row_number().over(Window.partitionBy("shard", FILE).orderBy(ROW)) - 1
+    slots = placed.withColumn("in_file", rank.cast("long")).join(small(offsets), ["shard", FILE]).withColumn("slot", F.col("from") + F.col("in_file"))
+    return rows.join(slots.select(FILE, ROW, *names), [FILE, ROW]).drop(FILE, ROW)
 
 
 def op2_sharding(spark, sf_dir: str) -> DataFrame:
+    """shard() over all documents; nulls count as there."""
     return shard(table(spark, sf_dir, "documents"))

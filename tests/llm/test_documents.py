@@ -107,11 +107,15 @@ def test_quality(docs, rows, empty):
     assert quality.judge(empty).count() == 0 and quality.keep_good(empty).count() == 0
 
 
-def test_quality_exact_windows(spark):
-    from pyspark.sql import functions as F
+def test_quality_by_words(docs, rows, monkeypatch):
+    monkeypatch.setattr(quality, "MAX_PLACES", 3)
+    same(quality.judge(docs).select("doc_id", "n_repeat_words").collect(), [(i, plain_quality(t or "")[4]) for i, t in rows])
 
-    d = spark.createDataFrame([("a b c d a b c x a b c d e",)], "text string").withColumn("w", F.split("text", " "))
-    assert d.select(quality._exact_starts().alias("s")).first()["s"] == [0, 1, 4, 8, 9]
+
+def test_quality_of_a_very_long_text(spark):
+    text = " ".join(f"w{i % 400_000}x{i // 700_000}" for i in range(1_100_000))
+    got = quality.judge(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert (got["n_words"], got["n_repeat_words"]) == (1_100_000, plain_quality(text)[4])
 
 
 def test_lm(docs, rows, empty):

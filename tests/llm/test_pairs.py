@@ -82,6 +82,13 @@ def test_components(spark):
     assert got == {i: 0 for i in range(51)} | {80: 80, 90: 80, 100: 80, 200: 80}
 
 
+def test_components_are_whole_or_an_error(spark):
+    path = spark.createDataFrame([(i, i + 1) for i in range(64)], "a long, b long")
+    with pytest.raises(RuntimeError):
+        components(path, 2)
+    assert components(path.limit(0)).count() == 0
+
+
 def plain_lines(rows):
     order = sorted(range(len(rows)), key=lambda k: (rows[k][0] is None, rows[k][0] or 0))
     seen, out = [], Counter()
@@ -148,6 +155,15 @@ def test_mixing(docs, empty):
     assert Counter(r["doc_id"] for r in mixing.mix(docs, weights).collect()) == Counter(r["doc_id"] for r in docs.collect())
 
 
+def test_many_sources(spark):
+    rows = spark.range(1200).selectExpr("id AS doc_id", "concat('s', id % 300) AS source")
+    got = mixing.order(rows, {"s1": 300, "s2": 100, "s7": 900}, 2).collect()
+    assert sorted(r["position"] for r in got) == list(range(1200))
+    pool = [r for r in got if r["source"] not in ("s1", "s2", "s7")]
+    assert len({r["block"] for r in pool}) == 594 and all(r["release"] <= r["slot"] < r["deadline"] for r in got)
+    assert all(r["position"] < 16 for r in got if r["source"] == "s7" and r["block"] == 0)
+
+
 @pytest.mark.parametrize("weights", [{"a": 1, "b": 2, "c": 4}, {"a": 7, "b": 11, "c": 13, "d": 1}, {"a": 1}])
 def test_deviation_below_one_block(weights):
     slots, total = mixing.period(weights), sum(weights.values())
@@ -174,7 +190,9 @@ def test_shards_keep_the_mixed_order(spark, docs):
         assert [position[r["doc_id"]] for r in held] == sorted(position[r["doc_id"]] for r in held)
     first = Counter(r["doc_id"] // 2000 for r in got if r["slot"] < 60)
     assert all(abs(first[i] / first.total() - (1 + i) / 10) < 0.04 for i in range(4))
+    assert all(r["text"] == "t" and r["source"] == f"src{r['doc_id'] // 2000}" for r in got)
     assert cp.shards(spark, docs, "").count() == docs.count()
+    assert {r["doc_id"]: r["slot"] for r in got} != {r["doc_id"]: r["slot"] for r in cp.shards(spark, rows, "").collect()}  # without mixing
 
 
 def test_pipeline(spark, tmp_path, docs, benchmark):
