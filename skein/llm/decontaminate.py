@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import table
-from .shingles import U64, WordHash, mix, shingle_hashes, words_of
+from .shingles import U64, mix, shingle_hashes, text_hashes, words_of
 
 WORDS, PERCENT, BANDS, ITEMS = 5, 80, 64, 50_000
 _SEEDS = mix(np.arange(1, BANDS + 1, dtype=U64) * U64(0x9E3779B97F4A7C15)) | U64(1)
@@ -36,14 +36,13 @@ class Index:
     """MinHash values of a block of items, by class, and the items' own shingles."""
 
     def __init__(self, items: list[tuple], n: int) -> None:
-        hashed = WordHash()
         self.n, self.ids, self.sets = n, [], []
         found: dict[int, dict[tuple[int, int], list[int]]] = defaultdict(lambda: defaultdict(list))
         for item_id, text in items:
             words = words_of(text)
             if not words:
                 continue
-            h = np.unique(shingle_hashes(hashed(words), n))
+            h = np.unique(shingle_hashes(next(text_hashes([text])), n))
             c = int(len(h) - 1).bit_length()
             at = len(self.ids)
             self.ids.append(item_id)
@@ -78,17 +77,13 @@ class Index:
                 out.update(of.get((int(k // window.shape[1]), int(window.ravel()[k])), ()))
         return out
 
-    def hits(self, text: str | None, hashed: WordHash, percent: int) -> list[tuple[int, int]]:
-        """(item, shared shingles) of the items of which percent or more lie in the text."""
-        words = words_of(text)
-        if not words or not self.ids:
-            return []
-        near = self.candidates(shingle_hashes(hashed(words), self.n))
-        if not near:
-            return []
-        own = _shingles(words, self.n)
-        shared = ((i, len(self.sets[i] & own)) for i in sorted(near))
-        return [(i, x) for i, x in shared if 100 * x >= percent * len(self.sets[i])]
+    def hits(self, texts: list[str | None], percent: int) -> Iterator[list[tuple[int, int]]]:
+        """For each text, (item, shared shingles) of the items of which percent or more lie in it."""
+        for text, h in zip(texts, text_hashes(texts), strict=True):
+            near = self.candidates(shingle_hashes(h, self.n)) if len(h) and self.ids else ()
+            own = _shingles(words_of(text), self.n) if near else set()
+            shared = ((i, len(self.sets[i] & own)) for i in sorted(near))
+            yield [(i, x) for i, x in shared if 100 * x >= percent * len(self.sets[i])]
 
 
 def blocks(benchmark: DataFrame, size: int = ITEMS) -> Iterator[list[tuple]]:
@@ -111,9 +106,9 @@ def find(docs: DataFrame, benchmark: DataFrame, n: int = WORDS, percent: int = P
         held = spark.sparkContext.broadcast(items)
 
         def run(frames, held=held):
-            index, hashed = Index(held.value, n), WordHash()
+            index = Index(held.value, n)
             for frame in frames:
-                rows = [(d, index.ids[i], len(index.sets[i]), x) for d, t in zip(frame["doc_id"], frame["text"], strict=True) for i, x in index.hits(t, hashed, percent)]
+                rows = [(d, index.ids[i], len(index.sets[i]), x) for d, found in zip(frame["doc_id"], index.hits(frame["text"].tolist(), percent), strict=True) for i, x in found]
                 yield pd.DataFrame(rows, columns=["doc_id", "item_id", "item_shingles", "shared"]).astype("Int64")
 
         found = docs.select("doc_id", "text").mapInPandas(run, shape)
@@ -129,9 +124,9 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, n: int = WORDS, percent: i
 
         def run(frames, held=held):
             import pyarrow as pa
-            index, hashed = Index(held.value, n), WordHash()
+            index = Index(held.value, n)
             for batch in frames:
-                clean = [not index.hits(t.as_py(), hashed, percent) for t in batch.column("text")]
+                clean = [not found for found in index.hits(batch.column("text").to_pylist(), percent)]
                 yield batch.filter(pa.array(clean, type=pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)

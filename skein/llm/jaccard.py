@@ -1,9 +1,11 @@
 """Exact Jaccard join of documents on word shingles, with PartEnum signatures.
 
 Sets are put into size bands; at the level of a band, sets that link differ in at most k shingles. The domain of
-shingles is dealt into k + 1 + e partitions: sets that link agree wholly on at least e + 1 of them, and each agreement is
-one shared signature. The partitions that hold fewest shingles of a set say least; up to e of them are left out. That
-loses nothing: of e + 1 agreements at least one is left in for both. A set has signatures at its own level and the next.
+shingles is dealt into k / 2 + 1 + e partitions of PARTS parts each. Sets that link differ in one shingle at most on at
+least e + 1 of the partitions, and there all parts but one agree: so each subset of PARTS - 1 parts is enumerated as a
+signature. Partitions in which a subset holds fewest shingles say least: such subsets are left out, of up to e
+partitions. That loses nothing: subsets that agree hold equally many, so of e + 1 at least one is left in for both sets.
+A set has signatures at its own level and the next.
 
 Sets that share a signature, and whose parity bitmaps differ in no more bits than sets that link may differ in shingles,
 fall into one blob (a component of that graph). The bitmap keeps passages that many documents share from joining them. Blobs are verified in tasks of
@@ -13,7 +15,7 @@ out is a spanning forest, never all pairs. Components of those links are the cla
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -22,19 +24,21 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import KEY, components, keyed, small, stage, table
-from .shingles import U64, WordHash, mix, shingle_hashes, words_of
+from .shingles import U64, mix, text_sets
 
 #: Bytes of text and texts in one side of a verification task.
 BLOCK_BYTES, BLOCK_TEXTS = 4_000_000, 700
 #: Words of 64 bits in a parity bitmap, and the rows of a signature that are compared shift by shift.
 BITMAP, SHORT = 8, 32
-#: Classes, of some 100 bytes each, that are broadcast at most.
-FACTS = 250_000
-SPARE = 0.2  # e as a share of k
+#: Bytes of the classes' sizes and bitmaps up to which they are broadcast.
+FACTS_BYTES = 48_000_000
+#: Parts of a partition, and e as a share of k.
+PARTS, SPARE = 3, 0.05
+_LEFT, _RIGHT = (np.array(x) for x in zip(*combinations(range(PARTS), PARTS - 1), strict=True))
 
 
 def bands(percent: int, size: int) -> tuple[int, list[tuple[int, int, int]]]:
-    """(own level, [(level, k, partitions)] for the own level and the next) of a set size.
+    """(own level, [(level, e, partitions)] for the own level and the next) of a set size.
 
     Band l ends at the largest size that can link with the band's first size; sizes that link lie in one band or two
     neighbours."""
@@ -48,7 +52,8 @@ def bands(percent: int, size: int) -> tuple[int, list[tuple[int, int, int]]]:
     for lv in (level, level + 1):
         # |r ^ s| = union - intersection, at most (100 - p) / (100 + p) * (|r| + |s|), and sizes are at most `last`
         k = (100 - percent) * 2 * last // (100 + percent)
-        out.append((lv, k, k + 1 + int(np.ceil(SPARE * k))))
+        spare = int(np.ceil(SPARE * k))
+        out.append((lv, spare, k // 2 + 1 + spare if k else 0))
         first = last + 1
         last = first * 100 // percent
     return level, out
@@ -63,27 +68,24 @@ class Signer:
         levels = self.by_size.get(len(s))
         if levels is None:
             levels = self.by_size[len(s)] = bands(self.percent, len(s))[1]
-        out = []
-        for level, k, n in levels:
-            part = ((mix(s ^ U64(level + 1)) >> U64(32)) * U64(n)) >> U64(32)
-            count = np.bincount(part.astype(np.int64), minlength=n)
-            # the largest t for which at most e partitions hold t shingles or fewer; those are left out
-            spare, at_most = n - k - 1, np.cumsum(np.bincount(count))
-            t = int(np.searchsorted(at_most, spare, side="right")) - 1
-            held = np.zeros(n, dtype=U64)
-            np.add.at(held, part.astype(np.int64), mix(s + U64(0x51_7CC1)))
-            keep = np.nonzero(count > t)[0]
-            out.append(mix(held[keep] ^ mix(keep.astype(U64) + (U64(level + 1) << U64(32)))))
+        out = [np.zeros(0, dtype=U64)]
+        for level, spare, n in levels:
+            if not n:  # no difference is allowed: the whole set is the signature
+                out.append(mix(mix(s).sum(keepdims=True) + U64(level)))
+                continue
+            part = (((mix(s ^ U64(level + 1)) >> U64(32)) * U64(n * PARTS)) >> U64(32)).astype(np.int64)
+            count = np.bincount(part, minlength=n * PARTS).reshape(n, PARTS)
+            held = np.zeros(n * PARTS, dtype=U64)
+            np.add.at(held, part, mix(s + U64(0x51_7CC1)))
+            held, count = held.reshape(n, PARTS), count[:, _LEFT] + count[:, _RIGHT]
+            # the largest t for which at most `spare` partitions have a subset of t shingles or fewer; those are left out
+            t = int(np.searchsorted(np.cumsum(np.bincount(count.min(axis=1))), spare, side="right")) - 1
+            keep = np.nonzero(count.ravel() > t)[0]
+            both = (held[:, _LEFT] * U64(0x9E3779B97F4A7C15) + held[:, _RIGHT]).ravel()[keep]
+            out.append(mix(both ^ mix(keep.astype(U64) + (U64(level + 1) << U64(32)))))
         return np.concatenate(out)
 
 
-def _sets(frames: Iterator[pd.DataFrame], n: int, column: str) -> Iterator[tuple[pd.DataFrame, int, np.ndarray]]:
-    hashed = WordHash()
-    for frame in frames:
-        for i, text in enumerate(frame[column]):
-            yield frame, i, np.unique(shingle_hashes(hashed(words_of(text)), n))
-
-
 def _class_of(s: np.ndarray) -> int:
     return int(np.int64(np.uint64(xxhash.xxh3_64_intdigest(s.tobytes()))))
 
@@ -110,9 +112,8 @@ def classes(docs: DataFrame, n: int) -> DataFrame:
     """row key, doc_id, n_shingles, bytes, class (the hash of the set) and bitmap of each row."""
 
     def run(frames):
-        hashed = WordHash()
         for frame in frames:
-            sets = [np.unique(shingle_hashes(hashed(words_of(t)), n)) for t in frame["text"]]
+            sets = list(text_sets(frame["text"], n))
             yield pd.DataFrame({KEY: frame[KEY], "doc_id": frame["doc_id"].astype("Int64"), "n_shingles": [len(s) for s in sets], "bytes": [len(t or "") for t in frame["text"]], "class": np.array([_class_of(s) for s in sets], dtype=np.int64), "bits": pd.Series([_bitmap(s) for s in sets], dtype=object)})
 
     return docs.select(KEY, "doc_id", "text").mapInPandas(run, f"{KEY} long, doc_id long, n_shingles long, bytes long, class long, bits binary")
@@ -122,11 +123,10 @@ def signatures(docs: DataFrame, n: int, percent: int) -> DataFrame:
     """(sig, class): the signatures of each row's set."""
 
     def run(frames):
-        hashed, sign = WordHash(), Signer(percent)
+        sign = Signer(percent)
         for frame in frames:
             sigs, ids, held = [], [], 0
-            for text in frame["text"]:
-                s = np.unique(shingle_hashes(hashed(words_of(text)), n))
+            for s in text_sets(frame["text"], n):
                 if len(s):
                     sigs.append(sign(s))
                     ids.append(np.full(len(sigs[-1]), _class_of(s), dtype=np.int64))
@@ -174,6 +174,8 @@ def near(live: DataFrame, percent: int) -> DataFrame:
         for at, k in zip(first[size > SHORT], size[size > SHORT], strict=True):
             part = np.arange(k)  # components so far: what is joined is not compared again
             for x in range(k - 1):
+                if (part == part[0]).all():
+                    break
                 y = x + 1 + np.nonzero(part[x + 1 :] != part[x])[0]
                 y = y[fits(n, whole, bits, at + x, at + y)] if len(y) else y
                 _, once = np.unique(part[y], return_index=True)
@@ -204,9 +206,9 @@ def verify(rows: DataFrame, n: int, percent: int) -> DataFrame:
     A task is one block of a blob, or two different ones; then only pairs across them count."""
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        hashed, sign = WordHash(), Signer(percent)
+        sign = Signer(percent)
         ids, blocks = frame["class"].to_numpy(), frame["block"].to_numpy()
-        sets = [np.unique(shingle_hashes(hashed(words_of(t)), n)) for t in frame["text"]]
+        sets = list(text_sets(frame["text"], n))
         size, across = np.array([len(s) for s in sets]), len(set(blocks)) > 1
         sigs = [sign(s) for s in sets]
         group = np.unique(np.concatenate(sigs), return_inverse=True)[1]
@@ -248,8 +250,8 @@ def link(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     shared = sigs.withColumn("lo", F.min("class").over(by_sig)).withColumn("hi", F.max("class").over(by_sig)).where("lo <> hi")
     shared = shared.select("sig", "class").distinct()  # still dealt by signature
     facts = stage(rows.groupBy("class").agg(F.first("n_shingles").alias("n_shingles"), F.first("bits").alias("bits")), "facts")
-    few = facts.limit(FACTS + 1).count() <= FACTS
-    # a broadcast join leaves the rows where they are; more facts than FACTS are joined by a shuffle, and rows dealt anew
+    few = facts.agg(F.coalesce(F.sum(F.length("bits") + 40), F.lit(0))).first()[0] <= FACTS_BYTES
+    # a broadcast join leaves the rows where they are; more facts than that are joined by a shuffle, and rows dealt anew
     live = shared.join(F.broadcast(facts), "class") if few else shared.join(facts, "class").repartition("sig")
     blobs = stage(components(near(live, percent)), "blobs").withColumnRenamed("node", "class").withColumnRenamed("root", "blob")
     first = F.min(F.struct(KEY, "bytes")).alias("first")
@@ -268,20 +270,25 @@ def link(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
 
 
 def op9_ngram_jaccard(spark, sf_dir: str) -> DataFrame:
-    """doc_id, n_shingles, component_id; a document without words is a component of its own. Null ids never lead one."""
+    """doc_id, n_shingles, component_id; a document without words is a component of its own. Null ids never lead one.
+
+    Only components of two rows or more have a row in the table of leads."""
     linked = link(keyed(table(spark, sf_dir, "documents").select("doc_id", "text")))
-    lead = linked.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    out = linked.join(lead, "component", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    many = linked.where("component is not null").groupBy("component").agg(F.count("*").alias("n"), F.min("doc_id").alias("lead")).where("n > 1").drop("n")
+    lead = stage(many, "leads").withColumn("found", F.lit(True))
+    out = linked.join(small(lead), "component", "left")
+    return out.select("doc_id", "n_shingles", F.when(F.col("found"), F.col("lead")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """docs without the rows that link, directly or not, to one with a smaller id; texts without words all stay.
 
-    The texts are not shuffled while at most BROADCAST_ROWS rows go; beyond that the rows are joined by a shuffle."""
+    Of ties in doc_id one row stays; null ids count as the largest. An empty table stays empty. The texts are not
+    shuffled while at most BROADCAST_ROWS rows go; beyond that the rows are joined by a shuffle."""
     names = docs.columns
     rows = keyed(docs)
     linked = link(rows, n, percent).where("component is not null")
-    kept = linked.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", KEY)).alias("lead"))
-    gone = linked.join(kept, "component").where(F.col(KEY) != F.col(f"lead.{KEY}")).select(KEY)
+    many = linked.groupBy("component").agg(F.count("*").alias("n"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", KEY)).alias("lead"))
+    lead = stage(many.where("n > 1").select("component", F.col(f"lead.{KEY}").alias("lead")), "leads")
+    gone = linked.join(small(lead), "component").where(F.col(KEY) != F.col("lead")).select(KEY)
     return rows.join(small(stage(gone, "gone")), KEY, "left_anti").select(*names)

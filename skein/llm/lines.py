@@ -6,9 +6,8 @@ earlier match, so a first round offers each prefix token's few nearest earlier c
 candidates and found no match are offered all of theirs in a second round. So thousands of near copies of a line cost
 rows in proportion to their number, and nothing is dropped. Tokens in very many prefixes are dealt out in blocks.
 
-A token that occurs once in the corpus matches nothing, so it is no row of the join: a bit table of fixed size, filled
-from the counts, tells which tokens may occur again (its false positives cost rows only). Classes are told apart by a
-hash of 64 bits, the size and a parity bitmap of 128 bits of the token set; matches are verified on the words.
+Classes are told apart by a hash of 64 bits, the size and a parity bitmap of 128 bits of the token set; matches are
+verified on the words.
 
 Words are cut and hashed for many texts at once, in numpy.
 """
@@ -23,22 +22,14 @@ from pyspark.sql import functions as F
 
 from .common import KEY, keyed, small, stage, table
 from .lm import head_of
-from .shingles import U64, mix, words_of
+from .shingles import U64, hash_words, mix, words_of
 
 PERCENT, HEAD, NEAREST, BLOCK_ROWS = 80, 100_000, 2, 50_000
 #: Characters of the texts that are cut at once, and distinct words that a counting task holds.
-CHARS, HELD = 1_000_000, 1_000_000
-#: log2 of the bits of the table of tokens that occur again (32 MB), at every input size; it is collected in slices.
-SEEN_BITS, SLICE_BITS = 28, 6
+CHARS, HELD = 500_000, 1_000_000
 #: Rows of token groups that are joined at once.
 BATCH_ROWS = 200_000
 _LOW = (1 << 62) - 1
-_SPACE = np.zeros(256, dtype=bool)
-_SPACE[list(b" \t\n\r\x0b\x0c")] = True
-_DEPTH = 32
-_TABLE = np.random.default_rng(5).integers(0, 1 << 64, (_DEPTH, 256), dtype=U64).ravel()
-_STEP = U64(0x9E3779B97F4A7C15)
-
 
 def need(a, b, percent: int):
     """The overlap that sets of a and b tokens need."""
@@ -46,23 +37,10 @@ def need(a, b, percent: int):
 
 
 def hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, line) of each word of the texts, lines counted on from text to text.
-
-    A byte has a random value for its place in the word; places from 32 on have it times a power."""
-    data = np.frombuffer("\n".join(texts).encode("utf-8", "surrogatepass").lower(), dtype=np.uint8)
-    space = _SPACE[data]
-    at = np.nonzero(~space)[0]
-    if not len(at):
-        return np.zeros(0, dtype=U64), np.zeros(0, dtype=np.int64)
-    first = np.nonzero(np.concatenate([[True], at[1:] != at[:-1] + 1]))[0]
-    size = np.diff(np.append(first, len(at)))
-    place = np.arange(len(at)) - np.repeat(first, size)
-    value = _TABLE[(place % _DEPTH) * 256 + data[at]]
-    far = np.nonzero(place >= _DEPTH)[0]
-    if len(far):
-        value[far] *= np.power(_STEP, (place[far] // _DEPTH).astype(U64))
-    line = np.searchsorted(np.nonzero(data == 10)[0], at[first])
-    return mix(np.add.reduceat(value, first) + size.astype(U64)), line
+    """(hash, line) of each word of the texts, lines counted on from text to text."""
+    data = "\n".join(texts).encode("utf-8", "surrogatepass")
+    h, first = hash_words(data)
+    return h, np.searchsorted(np.nonzero(np.frombuffer(data, dtype=np.uint8) == 10)[0], first)
 
 
 def pieces(texts: list[str | None]):
@@ -98,26 +76,6 @@ def count_hashes(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "word long, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def seen_again(words: DataFrame) -> np.ndarray:
-    """The table's bytes: bit h >> (64 - SEEN_BITS) is set if a word of hash h occurs twice or more."""
-    size = 1 << (SEEN_BITS - SLICE_BITS)
-
-    def run(batches, bits=SEEN_BITS):
-        held: dict[int, np.ndarray] = {}
-        for batch in batches:
-            at = (batch.column(0).to_numpy().view(U64) >> U64(64 - bits)).astype(np.int64)
-            for k in np.unique(at // size).tolist():
-                held.setdefault(k, np.zeros(size, dtype=bool))[at[at // size == k] % size] = True
-        if held:
-            yield pa.RecordBatch.from_arrays([pa.array(list(held), type=pa.int64()), pa.array([np.packbits(v, bitorder="little").tobytes() for v in held.values()])], ["k", "bits"])
-
-    out = np.zeros((1 << SEEN_BITS) // 8, dtype=np.uint8)
-    again = words.where("c > 1").select("word").repartition(1 << SLICE_BITS, F.shiftrightunsigned("word", 64 - SLICE_BITS))
-    for r in again.mapInArrow(run, "k long, bits binary").collect():
-        out[r["k"] * size // 8 : (r["k"] + 1) * size // 8] = np.frombuffer(r["bits"], dtype=np.uint8)
-    return out
-
-
 class Rarity:
     """Word hashes as longs that sort by rarity: those outside the corpus's head as they are, then the head, rarest first."""
 
@@ -129,18 +87,19 @@ class Rarity:
         self.word, self.key = word[order], rank[order] + (1 << 62)
 
     def __call__(self, h: np.ndarray) -> np.ndarray:
+        h, of = np.unique(h, return_inverse=True)  # words that come in order are found fast
         out = (h & U64(_LOW)).astype(np.int64)
         if len(self.word):
             at = np.minimum(np.searchsorted(self.word, h), len(self.word) - 1)
             out = np.where(self.word[at] == h, self.key[at], out)
-        return out
+        return out[of]
 
 
-def lines_of(docs: DataFrame, head, seen, percent: int) -> DataFrame:
-    """A row for each line with a word: its place, class, size, bitmap and prefix (-1 for a token that occurs once)."""
+def lines_of(docs: DataFrame, head, percent: int) -> DataFrame:
+    """A row for each line with a word: its place, class, size, bitmap and prefix."""
 
-    def run(batches, shift=64 - SEEN_BITS):
-        rarity, again = Rarity(head.value), seen.value
+    def run(batches):
+        rarity = Rarity(head.value)
         for batch in batches:
             texts = [t or "" for t in batch.column("text").to_pylist()]
             for lo, hi in pieces(texts):
@@ -152,9 +111,9 @@ def lines_of(docs: DataFrame, head, seen, percent: int) -> DataFrame:
                 order = np.argsort(key)
                 near = line[order].astype(np.uint16 if line[-1] < 1 << 16 else np.int64)
                 order = order[np.argsort(near, kind="stable")]
-                line, key, h = line[order], key[order], h[order]
+                line, key = line[order], key[order]
                 new = np.concatenate([[True], (line[1:] != line[:-1]) | (key[1:] != key[:-1])])
-                line, key, h = line[new], key[new], h[new]
+                line, key = line[new], key[new]
                 starts = np.nonzero(np.concatenate([[True], line[1:] != line[:-1]]))[0]
                 n = np.diff(np.append(starts, len(line)))
                 m = mix(key.astype(U64))
@@ -164,9 +123,7 @@ def lines_of(docs: DataFrame, head, seen, percent: int) -> DataFrame:
                 b1, b2 = (np.bitwise_xor.reduceat(np.where((bit >> U64(6)) == half, one, U64(0)), starts).astype(np.int64) for half in (U64(0), U64(1)))
                 size = n + 1 - (-(-percent * n // 100))
                 ends = np.cumsum(size)
-                at = np.repeat(starts - (ends - size), size) + np.arange(ends[-1])
-                bit = (h[at] >> U64(shift)).astype(np.int64)
-                prefix = np.where(again[bit >> 3] >> (bit & 7).astype(np.uint8) & 1, key[at], -1)
+                prefix = key[np.repeat(starts - (ends - size), size) + np.arange(ends[-1])]
                 of = np.searchsorted(begin, line[starts], side="right") - 1
                 rows = pa.array(of + lo)
                 yield pa.RecordBatch.from_arrays(
@@ -279,11 +236,10 @@ def find(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]
     words = stage(count_hashes(rows), "words")
     top, least = head_of(words, HEAD)
     top = [(r["word"], r["c"]) for r in top]
-    share = docs.sparkSession.sparkContext.broadcast
-    lines = stage(lines_of(rows, share(top), share(seen_again(words)), percent), "lines")
+    lines = stage(lines_of(rows, docs.sparkSession.sparkContext.broadcast(top), percent), "lines")
     firsts = lines.withColumn("none", F.col("doc_id").isNull()).groupBy("class", "n", "b1", "b2").agg(F.min(F.struct(*PLACE, "prefix")).alias("f"))
     classes = stage(firsts.select("f.*", "n", "b1", "b2"), "classes")
-    spread = classes.select(*PLACE, "n", "b1", "b2", F.posexplode("prefix").alias("pos", "token")).where("token >= 0")
+    spread = classes.select(*PLACE, "n", "b1", "b2", F.posexplode("prefix").alias("pos", "token"))
     # a token in so many prefixes occurs as often in the corpus: only such words of the head are counted
     seldom = (1 << 62) + sum(c <= BLOCK_ROWS for _, c in top) if least <= BLOCK_ROWS else 0
     large = stage(spread.where(F.col("token") >= seldom).groupBy("token").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks")).where("blocks > 1"), "large")

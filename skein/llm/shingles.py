@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 import numpy as np
-import xxhash
 
 U64 = np.uint64
-#: Words remembered with their hashes, per task; forgotten all at once when there are more.
-REMEMBERED = 400_000
 _MULT = U64(0x9E3779B97F4A7C15)
 _M1, _M2 = U64(0xBF58476D1CE4E5B9), U64(0x94D049BB133111EB)
 
@@ -24,22 +23,69 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
-class WordHash:
-    """Hashes of words, each computed once while it is remembered."""
+_SPACE = np.zeros(256, dtype=bool)
+_SPACE[list(b" \t\n\r\x0b\x0c")] = True
+#: Bytes of a block, a random value for each byte, and the powers of an odd number and of its inverse.
+_BLOCK = 1 << 17
+_BYTE = np.random.default_rng(5).integers(0, 1 << 64, 256, dtype=U64)
+_BASE, _FULL = 0x9E3779B97F4A7C17, 1 << 64
+#: Bytes of the texts that are hashed at once.
+BYTES = 500_000
+
+
+def _powers(x: int) -> np.ndarray:
+    return np.concatenate([[U64(1)], np.cumprod(np.full(_BLOCK - 1, x, dtype=U64))])
+
+
+_POWER, _INVERSE = _powers(_BASE), _powers(pow(_BASE, -1, _FULL))
+
+
+def hash_words(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, first byte) of each word between ASCII white space, with A-Z lower-cased.
+
+    A word's hash is a polynomial in its bytes' values, modulo 2^64: the difference of two running sums over a block of
+    bytes, moved to the word's start. Words that go on in further blocks get a share from each."""
+    data = np.frombuffer(text.lower(), dtype=np.uint8)
+    space = np.concatenate([[True], _SPACE[data], [True]])
+    edges = np.nonzero(space[1:] != space[:-1])[0]
+    first, end = edges[::2], edges[1::2]
+    out = np.zeros(len(first), dtype=U64)
+    for lo in range(0, len(data), _BLOCK):
+        hi = min(lo + _BLOCK, len(data))
+        total = np.zeros(hi - lo + 1, dtype=U64)
+        np.cumsum(_BYTE.take(data[lo:hi]) * _POWER[: hi - lo], out=total[1:])
+        a, b = np.searchsorted(first, [lo, hi])
+        if a and end[a - 1] > lo:
+            out[a - 1 : a] += total[[min(int(end[a - 1]), hi) - lo]] * U64(pow(_BASE, lo - int(first[a - 1]), _FULL))
+        if b > a:
+            out[a:b] = (total[np.minimum(end[a:b], hi) - lo] - total[first[a:b] - lo]) * _INVERSE[first[a:b] - lo]
+    return mix(out + (end - first).astype(U64)), first
+
+
+def text_hashes(texts: Iterable[str | None]) -> Iterator[np.ndarray]:
+    """The word hashes of each text; many short texts are hashed at once."""
+    held: list[bytes] = []
+    size = 0
+
+    def out():
+        h, first = hash_words(b"\n".join(held))
+        cuts = np.searchsorted(first, np.cumsum([len(x) + 1 for x in held])[:-1])
+        held.clear()
+        return np.split(h, cuts)
+
+    for text in texts:
+        held.append((text or "").encode("utf-8", "surrogatepass"))
+        size += len(held[-1])
+        if size >= BYTES:
+            yield from out()
+            size = 0
+    if held:
+        yield from out()
 
-    def __init__(self) -> None:
-        self.known: dict[bytes, int] = {}
 
-    def __call__(self, words: list[bytes]) -> np.ndarray:
-        get = self.known.get
-        out = list(map(get, words))
-        if None in out:
-            if len(self.known) > REMEMBERED:
-                self.known.clear()
-            for i, h in enumerate(out):
-                if h is None:
-                    out[i] = self.known[words[i]] = xxhash.xxh3_64_intdigest(words[i])
-        return np.array(out, dtype=U64)
+def text_sets(texts: Iterable[str | None], n: int) -> Iterator[np.ndarray]:
+    """The distinct shingle hashes of each text, sorted."""
+    return (np.unique(shingle_hashes(h, n)) for h in text_hashes(texts))
 
 
 def shingle_hashes(h: np.ndarray, n: int) -> np.ndarray:

@@ -174,11 +174,11 @@ def test_lm_learns():
 def test_lm_trains_on_whole_texts(spark):
     ranks = spark.sparkContext.broadcast(lm.load_ranks())
     encode = lm.Subwords(ranks.value)
-    cls, _ = lm.classify(np.random.default_rng(2).random(encode.end + 1))
+    cls = lm.classify(np.random.default_rng(2).random(encode.end + 1))
     texts = [" ".join(f"word{i}" for i in range(3000)), "x" * 5000, "a b", None]
     d = spark.createDataFrame([(t, False) for t in texts * 3], "text string, held_out boolean")
-    want = Counter(tuple(cls[[*(i for w in lm.words_of(t) for i in encode(w)), encode.end]]) for t in texts * 3)
-    got = [np.frombuffer(r["classes"], dtype=np.uint16) for r in lm.sequences(d, ranks, cls).collect()]
+    want = Counter(tuple(cls[[*(encode(w)[0] for w in lm.words_of(t)), encode.end]]) for t in texts * 3)
+    got = [np.frombuffer(r["classes"], dtype=np.uint8) for r in lm.sequences(d, ranks, cls).collect()]
     assert Counter(tuple(s) for s in got) == want
     whole = lm.chunks(got)
     for size in (7, 64, 10**6):
@@ -217,13 +217,26 @@ def test_lm_score_is_plain_attention(spark, monkeypatch):
     p = {k: rng.normal(0, 0.5, s) for k, s in lm.SHAPES.items()}
     held = {}
     monkeypatch.setattr(lm, "train", lambda seqs, mass: p)
-    monkeypatch.setattr(lm, "classify", lambda counts, plain=lm.classify: held.setdefault("c", plain(counts)))
+    monkeypatch.setattr(lm, "spelling", lambda counts, ranks, plain=lm.spelling: held.setdefault("s", plain(counts, ranks)))
     texts = [(1, "the cat sat on the mat " * 12), (2, "unseen wörds 123"), (3, None), (4, "dog"), (10, "the cat's dog")]
-    got = {r["doc_id"]: r["score"] for r in lm.score(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
-    encode, (cls, within) = lm.Subwords(lm.load_ranks()), held["c"]
-    for i, t in texts:
-        ids = [*(x for w in lm.words_of(t) for x in encode(w)), encode.end]
-        assert got[i] == pytest.approx(plain_attention(p, cls[ids]) / math.log(10) + within[ids].sum(), rel=1e-4)
+    train = Counter(w for i, t in texts if zlib.crc32(str(i).encode()) % 10 for w in [*lm.words_of(t), b""])
+    for limit in (lm.HEAD, 1):  # the second joins the counts of nearly all words
+        monkeypatch.setattr(lm.head_of, "__defaults__", (limit,))
+        got = {r["doc_id"]: r["score"] for r in lm.score(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+        encode, spell = lm.Subwords(lm.load_ranks()), held["s"]
+        for i, t in texts:
+            words = [(w, encode(w) if w else [encode.end]) for w in [*lm.words_of(t), b""]]
+            rest = 0.0
+            for w, ids in words:
+                chance = 10 ** (spell.first[ids[0]] + sum(spell.inner[x] for x in ids[1:]) + spell.end)
+                rest += math.log10(chance + (train[w] * spell.seen[spell.cls[ids[0]]] if train[w] else 0))
+            assert got[i] == pytest.approx(plain_attention(p, spell.cls[[ids[0] for _, ids in words]]) / math.log(10) + rest, rel=1e-4)
+    mass = Counter()
+    for w, c in train.items():
+        mass[spell.cls[(encode(w) if w else [encode.end])[0]]] += c
+    assert all(spell.seen[k] * n + spell.unseen[k] == pytest.approx(1) for k, n in mass.items())
+    first = np.bincount(spell.cls, weights=10 ** np.array(spell.first), minlength=lm.CLASSES)
+    assert first[1:] == pytest.approx(spell.unseen[1:]) and (10 ** np.array(spell.inner)).sum() + 10**spell.end == pytest.approx(1)
 
 
 def test_warc(spark):

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from skein.llm import decontaminate, jaccard, lines, mixing, quality, sharding
+from skein.llm import shingles as hashing
 from skein.llm.common import components, stage
 from skein.llm.shingles import words_of
 
@@ -70,10 +71,23 @@ def test_signatures_lose_no_pair():
                 assert s & t
 
 
-def test_jaccard_in_blocks(docs, monkeypatch):
-    whole = jaccard.keep_one(docs).count()
-    monkeypatch.setattr(jaccard, "BLOCK_TEXTS", 5)
-    assert jaccard.keep_one(docs).count() == whole
+@pytest.mark.parametrize("change", [{"BLOCK_TEXTS": 5}, {"FACTS_BYTES": 0}, {"SHORT": 2}])
+def test_jaccard_in_blocks(docs, rows, monkeypatch, change):
+    for k, v in change.items():
+        monkeypatch.setattr(jaccard, k, v)
+    sets = [shingles(t, 5) for _, t in rows]
+    roots = plain_components(sets, 80)
+    assert jaccard.keep_one(docs).count() == len({r for r, s in zip(roots, sets, strict=True) if s}) + sum(not s for s in sets)
+
+
+def test_signatures_are_subsets_of_parts():
+    import numpy as np
+
+    for size in (1, 4, 7, 30, 200, 1000):
+        s = np.unique(np.random.default_rng(size).integers(0, 1 << 64, size, dtype=np.uint64))
+        levels = jaccard.bands(85, size)[1]
+        made = len(jaccard.Signer(85)(s))
+        assert made <= sum(n * jaccard.PARTS or 1 for _, _, n in levels) and made >= sum((n - e) * jaccard.PARTS for _, e, n in levels)
 
 
 def test_components(spark):
@@ -104,7 +118,7 @@ def plain_lines(rows):
     return out
 
 
-@pytest.mark.parametrize("change", [{}, {"NEAREST": 1, "BLOCK_ROWS": 3, "HEAD": 5, "BATCH_ROWS": 7, "CHARS": 50, "SEEN_BITS": 9}])
+@pytest.mark.parametrize("change", [{}, {"NEAREST": 1, "BLOCK_ROWS": 3, "HEAD": 5, "BATCH_ROWS": 7, "CHARS": 50}])
 def test_lines(docs, rows, empty, monkeypatch, change):
     for k, v in change.items():
         monkeypatch.setattr(lines, k, v)
@@ -115,6 +129,18 @@ def test_lines(docs, rows, empty, monkeypatch, change):
     assert lines.report(empty).count() == 0
 
 
+def test_word_hashes(monkeypatch):
+    texts = ["", "a b  a\n\tAB ab", "x" * 1000 + " " + "y" * 70, "\n\n", "x" * 1000 + "\x0bé É ab", "ba ab"]
+    words = [(w, n) for n, line in enumerate("\n".join(texts).split("\n")) for w in words_of(line)]
+    seen = []
+    for block in (7, 64, 1 << 17):
+        monkeypatch.setattr(hashing, "_BLOCK", block)
+        h, line = lines.hashes(texts)
+        assert line.tolist() == [n for _, n in words] and len({*zip((w for w, _ in words), h.tolist())}) == len(set(h.tolist())) == len({w for w, _ in words})
+        seen.append(h.tolist())
+    assert seen[0] == seen[1] == seen[2] and len(lines.hashes([""])[0]) == 0
+
+
 def test_clean_lines(spark):
     d = spark.createDataFrame([(1, "a b c d e\nx y z"), (2, "q\na b c d e\n\nw"), (3, None)], "doc_id long, text string")
     assert {r["doc_id"]: r["text"] for r in lines.clean(d).collect()} == {1: "a b c d e\nx y z", 2: "q\n\nw", 3: None}
