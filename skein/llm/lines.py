@@ -39,7 +39,7 @@ def need(a, b, percent: int):
 def hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(hash, line) of each word of the texts, lines counted on from text to text."""
     data = "\n".join(texts).encode("utf-8", "surrogatepass")
-    h, first = hash_words(data)
+    h, first, _ = hash_words(data)
     return h, np.searchsorted(np.nonzero(np.frombuffer(data, dtype=np.uint8) == 10)[0], first)
 
 
@@ -148,10 +148,11 @@ PLACE = ["none", "doc_id", KEY, "line_no"]
 
 
 def candidates(rows: DataFrame, percent: int, most: int | None) -> DataFrame:
-    """(x, xl, y, yl, more): for each wanted row, places (row key, line) of earlier rows of its token group that pass the
+    """(x, xl, y, yl, more): for each wanted row, places (rank, line) of earlier rows of its token group that pass the
     filters, at most `most` of each token; more says that there may be others.
 
-    rows: task, token, n, pos, b1, b2, wanted and the place."""
+    rows: task, token, at, line_no, size (n in the upper half, the token's place in the lower), b1, b2 and, unless all
+    are, wanted."""
 
     def pairs(rows: pa.Table):
         task, token = rows.column("task").to_numpy(), rows.column("token").to_numpy()
@@ -160,9 +161,10 @@ def candidates(rows: DataFrame, percent: int, most: int | None) -> DataFrame:
         run = run[~alone]
         if not len(run):
             return
-        f = {c: rows.column(c).to_numpy()[~alone] for c in rows.column_names[2:]}
+        f = {c: rows.column(c).to_numpy(zero_copy_only=False)[~alone] for c in rows.column_names[2:]}
+        f["n"], f["pos"] = f["size"] >> 32, f["size"] & 0xFFFFFFFF
         before = np.arange(len(run)) - np.maximum.accumulate(np.where(run, np.arange(len(run)), 0))
-        i, d = np.nonzero(f["wanted"] & (before > 0))[0], 1
+        i, d = np.nonzero((before > 0) & f["wanted"] if "wanted" in f else before > 0)[0], 1
         given = np.zeros(len(run), dtype=np.int32)
         while len(i):
             j = i - d
@@ -178,7 +180,7 @@ def candidates(rows: DataFrame, percent: int, most: int | None) -> DataFrame:
             full = given[i] >= most if most else np.zeros(len(i), dtype=bool)
             if len(k):
                 x, y = i[k], j[k]
-                out = [f[KEY][x], f["line_no"][x], f[KEY][y], f["line_no"][y], (full & rest)[k]]
+                out = [f["at"][x], f["line_no"][x], f["at"][y], f["line_no"][y], (full & rest)[k]]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in out], ["x", "xl", "y", "yl", "more"])
             i = i[rest & ~full]
 
@@ -202,15 +204,17 @@ def candidates(rows: DataFrame, percent: int, most: int | None) -> DataFrame:
             yield from pairs(pa.Table.from_batches(held))
 
     # tokens differ soonest, so they come first in the order
-    held = rows.repartition("task", "token").sortWithinPartitions("token", "task", *PLACE)
-    found = held.select("task", "token", KEY, "line_no", "n", "pos", "b1", "b2", "wanted").mapInArrow(run, "x long, xl int, y long, yl int, more boolean")
+    held = rows.repartition("task", "token").sortWithinPartitions("token", "task", "at", "line_no")
+    found = held.mapInArrow(run, "x long, xl int, y long, yl int, more boolean")
     return found.groupBy("x", "xl", "y", "yl").agg(F.max("more").alias("more"))
 
 
-def verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+def verified(pairs: DataFrame, docs: DataFrame, ranks: DataFrame, percent: int) -> DataFrame:
     """(x, xl, same, more) of the pairs' places x, xl: whether a pair's words have the Jaccard similarity."""
-    places = small(stage(pairs.select(F.col("x").alias(KEY), F.col("xl").alias("line_no")).union(pairs.select("y", "yl")).distinct(), "places"))
-    texts = stage(docs.select(KEY, F.posexplode(F.split("text", "\n")).alias("line_no", "line")).join(places, [KEY, "line_no"]), "texts")
+    places = pairs.select(F.col("x").alias("at"), F.col("xl").alias("line_no")).union(pairs.select("y", "yl")).distinct()
+    places = small(stage(places.join(small(ranks), "at"), "places"))
+    texts = docs.select(KEY, F.posexplode(F.split("text", "\n")).alias("line_no", "line")).join(places, [KEY, "line_no"])
+    texts = stage(texts.select("at", "line_no", "line"), "texts")
 
     def run(frames):
         for frame in frames:
@@ -226,6 +230,13 @@ def verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     return stage(joined.select("x", "xl", "more", "xt", "yt").mapInPandas(run, "x long, xl int, more boolean, same boolean").groupBy("x", "xl").agg(F.max("same").alias("same"), F.max("more").alias("more")), "verified")
 
 
+def ranked(rows: DataFrame) -> DataFrame:
+    """(row key, at): ranks of the rows by doc_id (nulls last), then row; with gaps."""
+    order = [F.col("doc_id").isNull(), F.col("doc_id"), F.col(KEY)]
+    # a lost task sorts the same rows again, and the staged table settles the ranks
+    return stage(rows.select(KEY, "doc_id").repartitionByRange(*order).sortWithinPartitions(*order).select(KEY, F.monotonically_increasing_id().alias("at")), "ranks")
+
+
 def find(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """(rows with their key, lines (row key, doc_id, line_no, gone)) of docs.
 
@@ -239,22 +250,27 @@ def find(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]
     lines = stage(lines_of(rows, docs.sparkSession.sparkContext.broadcast(top), percent), "lines")
     firsts = lines.withColumn("none", F.col("doc_id").isNull()).groupBy("class", "n", "b1", "b2").agg(F.min(F.struct(*PLACE, "prefix")).alias("f"))
     classes = stage(firsts.select("f.*", "n", "b1", "b2"), "classes")
-    spread = classes.select(*PLACE, "n", "b1", "b2", F.posexplode("prefix").alias("pos", "token"))
+    ranks = ranked(rows)
+    size = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("pos").cast("long")).alias("size")
+    held = classes.join(small(ranks), KEY)
+    spread = held.select("at", "line_no", "n", "b1", "b2", F.posexplode("prefix").alias("pos", "token")).select("token", "at", "line_no", size, "b1", "b2")
     # a token in so many prefixes occurs as often in the corpus: only such words of the head are counted
     seldom = (1 << 62) + sum(c <= BLOCK_ROWS for _, c in top) if least <= BLOCK_ROWS else 0
     large = stage(spread.where(F.col("token") >= seldom).groupBy("token").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks")).where("blocks > 1"), "large")
     spread = spread.join(small(large), "token", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    block = F.pmod(F.xxhash64(KEY, "line_no"), F.col("blocks")).cast("int")
+    block = F.pmod(F.xxhash64("at", "line_no"), F.col("blocks")).cast("int")
     spread = spread.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    spread = spread.withColumn("task", F.least("block", "other") * 65_536 + F.greatest("block", "other")).drop("block", "other", "blocks")
-    first = verified(stage(candidates(spread.withColumn("wanted", F.lit(True)), percent, NEAREST), "near"), rows, percent)
-    place = [F.col("x").alias(KEY), F.col("xl").alias("line_no")]
+    spread = spread.withColumn("task", F.least("block", "other") * 65_536 + F.greatest("block", "other"))
+    spread = spread.select("task", "token", "at", "line_no", "size", "b1", "b2")
+    first = verified(stage(candidates(spread, percent, NEAREST), "near"), rows, ranks, percent)
+    place = [F.col("x").alias("at"), F.col("xl").alias("line_no")]
     again = stage(first.where("more and not same").select(*place, F.lit(True).alias("w")), "again")
     # only groups that hold a class in want: their tokens are few
-    tokens = stage(spread.join(small(again), [KEY, "line_no"]).select("token").distinct(), "tokens")
-    rest = spread.join(small(tokens), "token", "left_semi").join(small(again), [KEY, "line_no"], "left").withColumn("wanted", F.coalesce("w", F.lit(False))).drop("w")
-    second = verified(stage(candidates(rest, percent, None), "all"), rows, percent)
-    gone = stage(first.where("same").select(*place).union(second.where("same").select(*place)).distinct(), "matched")
+    tokens = stage(held.join(small(again), ["at", "line_no"]).select(F.explode("prefix").alias("token")).distinct(), "tokens")
+    rest = spread.join(small(tokens), "token", "left_semi").join(small(again), ["at", "line_no"], "left")
+    rest = rest.select("task", "token", "at", "line_no", "size", "b1", "b2", F.coalesce("w", F.lit(False)).alias("wanted"))
+    second = verified(stage(candidates(rest, percent, None), "all"), rows, ranks, percent)
+    gone = stage(first.where("same").select(*place).union(second.where("same").select(*place)).distinct().join(small(ranks), "at").select(KEY, "line_no"), "matched")
     lead = classes.select(KEY, "line_no").join(gone, [KEY, "line_no"], "left_anti").withColumn("leads", F.lit(True))
     return rows, lines.select(KEY, "doc_id", "line_no").join(lead, [KEY, "line_no"], "left").withColumn("gone", F.col("leads").isNull())
 

@@ -40,8 +40,8 @@ def _powers(x: int) -> np.ndarray:
 _POWER, _INVERSE = _powers(_BASE), _powers(pow(_BASE, -1, _FULL))
 
 
-def hash_words(text: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, first byte) of each word between ASCII white space, with A-Z lower-cased.
+def hash_words(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, first byte, byte behind it) of each word between ASCII white space, with A-Z lower-cased.
 
     A word's hash is a polynomial in its bytes' values, modulo 2^64: the difference of two running sums over a block of
     bytes, moved to the word's start. Words that go on in further blocks get a share from each."""
@@ -59,7 +59,7 @@ def hash_words(text: bytes) -> tuple[np.ndarray, np.ndarray]:
             out[a - 1 : a] += total[[min(int(end[a - 1]), hi) - lo]] * U64(pow(_BASE, lo - int(first[a - 1]), _FULL))
         if b > a:
             out[a:b] = (total[np.minimum(end[a:b], hi) - lo] - total[first[a:b] - lo]) * _INVERSE[first[a:b] - lo]
-    return mix(out + (end - first).astype(U64)), first
+    return mix(out + (end - first).astype(U64)), first, end
 
 
 def text_hashes(texts: Iterable[str | None]) -> Iterator[np.ndarray]:
@@ -68,7 +68,7 @@ def text_hashes(texts: Iterable[str | None]) -> Iterator[np.ndarray]:
     size = 0
 
     def out():
-        h, first = hash_words(b"\n".join(held))
+        h, first, _ = hash_words(b"\n".join(held))
         cuts = np.searchsorted(first, np.cumsum([len(x) + 1 for x in held])[:-1])
         held.clear()
         return np.split(h, cuts)

@@ -178,7 +178,7 @@ def test_lm_trains_on_whole_texts(spark):
     texts = [" ".join(f"word{i}" for i in range(3000)), "x" * 5000, "a b", None]
     d = spark.createDataFrame([(t, False) for t in texts * 3], "text string, held_out boolean")
     want = Counter(tuple(cls[[*(encode(w)[0] for w in lm.words_of(t)), encode.end]]) for t in texts * 3)
-    got = [np.frombuffer(r["classes"], dtype=np.uint8) for r in lm.sequences(d, ranks, cls).collect()]
+    got = [np.frombuffer(r["classes"], dtype=np.uint8) for r in lm.sequences(d, ranks, cls, ["word7", "a"]).collect()]
     assert Counter(tuple(s) for s in got) == want
     whole = lm.chunks(got)
     for size in (7, 64, 10**6):
