@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from . import providers
 from .config import Params
-from .errors import IngestionError, ValidationError
+from .errors import IngestionError, UnsupportedFileTypeError, ValidationError
 from .functions import lexicons as L
 from .functions import metadata as M
 from .functions.text import clean_text, file_extension
@@ -27,11 +27,10 @@ class Engine:
         """docs (document_id, filename, text): the new ones are chunked, embedded and stored; their catalogue rows return.
 
         Files of other types are an error; texts that the catalogue holds, or that repeat within docs, are left out."""
-        kinds = {r[0] for r in docs.select(file_extension(F.col("filename"))).distinct().limit(1000).collect()}
-        if wrong := sorted(kinds - set(SUPPORTED)):
-            from .errors import UnsupportedFileTypeError
-
-            raise UnsupportedFileTypeError(wrong[0])
+        kind = F.coalesce(file_extension(F.col("filename")), F.lit(""))
+        wrong = docs.select(kind.alias("kind")).where(~F.col("kind").isin(*SUPPORTED)).agg(F.min("kind")).first()[0]
+        if wrong is not None:
+            raise UnsupportedFileTypeError(wrong, SUPPORTED)
         d = docs.withColumn("checksum", F.sha2("text", 256))
         new = catalog.new_documents(d, self.store.read("catalogue")).withColumn("m", M.describe(clean_text(F.col("text")), F.col("filename")))
         new = new.select("document_id", "text", "checksum", "m.*")
@@ -58,11 +57,7 @@ class Engine:
         probes = probes.withColumn("probe", key)
         vectors = probes.select("probe", providers.embed(F.col("text"), self.embedder).alias("q"))
         near = dense.search(vectors, chunks.select("chunk_id", F.col("dense").alias("v")), "probe", "chunk_id", 2 * p.top_k, p.score_threshold)
-        counts = sparse.token_counts(chunks, "chunk_id", stopwords=self.stop)
-        terms, stats = sparse.fit(chunks, "chunk_id", stopwords=self.stop)
-        encode = lambda c: sparse.encode(c, terms, stats, self.boosted, p.k1, p.b)
-        words = encode(sparse.token_counts(probes.where("kind = 'q'"), "probe", stopwords=self.stop))
-        lexical = sparse.search(words, encode(counts), "probe", "chunk_id", 2 * p.top_k)
+        lexical = sparse.Index(chunks, "chunk_id", probes.where("kind = 'q'"), "probe", stopwords=self.stop).search(2 * p.top_k, self.boosted, p.k1, p.b)
         order = F.when(F.col("kind") == "h", 1000).otherwise(F.col("variant_no"))
         known = probes.select("probe", "qid", "kind", order.alias("no"))
         lists = near.join(known, "probe").where(F.when(F.col("kind") == "h", F.col("rank") <= p.top_k).otherwise(True)).select("qid", F.col("no").alias("list_no"), "rank", "chunk_id")

@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions.lexicons import BOOSTED, STOPWORDS
 from ..functions.text import bm25_tokens
+from ..staging import stage
+
+#: Rows of the questions' token counts up to which the tokens are broadcast.
+BROADCAST_TOKENS = 1_000_000
 
 
 def token_counts(docs: DataFrame, id_: str, text: str = "text", stopwords=STOPWORDS) -> DataFrame:
@@ -15,17 +19,50 @@ def token_counts(docs: DataFrame, id_: str, text: str = "text", stopwords=STOPWO
     return toks.select(id_, F.explode("t").alias("token"), F.size("t").alias("dl")).groupBy(id_, "token").agg(F.count("*").alias("tf"), F.first("dl").cast("long").alias("dl"))
 
 
-def fit(docs: DataFrame, id_: str, text: str = "text", stopwords=STOPWORDS) -> tuple[DataFrame, DataFrame]:
-    """(terms, stats). The document frequency is a partial aggregate by token; stats is one row."""
-    sizes = docs.select(F.size(bm25_tokens(F.coalesce(F.col(text), F.lit("")), stopwords)).alias("n"))
-    stats = sizes.agg(F.count("*").alias("n_docs"), (F.sum("n") / F.greatest(F.count("*"), F.lit(1))).alias("avgdl"))
-    once = docs.select(F.explode(F.array_distinct(bm25_tokens(F.col(text), stopwords))).alias("token"))
-    df = once.groupBy("token").agg(F.count("*").alias("df"))
+#: Stands for a text as a whole among its tokens; no token is empty.
+_TEXT = ""
+
+
+def _terms(frequency: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(terms, stats) from (token, df, size), the row of _TEXT counting texts and their tokens."""
+    stats = frequency.where(F.col("token") == _TEXT).agg(F.coalesce(F.max("df"), F.lit(0)).alias("n_docs"), (F.coalesce(F.max("size"), F.lit(0)) / F.greatest(F.coalesce(F.max("df"), F.lit(0)), F.lit(1))).alias("avgdl"))
     n = F.col("n_docs")
-    terms = df.join(F.broadcast(stats)).select("token", "df", F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0).alias("idf"))
+    terms = frequency.where(F.col("token") != _TEXT).join(F.broadcast(stats)).select("token", "df", F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0).alias("idf"))
     return terms, stats
 
 
+def fit(docs: DataFrame, id_: str, text: str = "text", stopwords=STOPWORDS) -> tuple[DataFrame, DataFrame]:
+    """(terms, stats): one scan of the texts and one partial aggregate by token, staged; stats is one row."""
+    toks = docs.select(bm25_tokens(F.coalesce(F.col(text), F.lit("")), stopwords).alias("t"))
+    rows = toks.select(F.size("t").alias("dl"), F.explode(F.concat(F.array_distinct("t"), F.array(F.lit(_TEXT)))).alias("token"))
+    return _terms(stage(rows.groupBy("token").agg(F.count("*").alias("df"), F.sum("dl").alias("size")), "terms"))
+
+
+class Index:
+    """What BM25 needs of the texts for a set of questions: one scan of the texts, and only the questions' tokens of it.
+
+    The tokens of the questions are broadcast while there are at most BROADCAST_TOKENS; a larger set is joined by a
+    shuffle. The counts are staged, so no later step tokenises again."""
+
+    def __init__(self, docs: DataFrame, id_: str, questions: DataFrame, qid: str, text: str = "text", stopwords=STOPWORDS) -> None:
+        self.id, self.qid = id_, qid
+        self.asked = stage(token_counts(questions, qid, text, stopwords), "asked")
+        wanted = self.asked.select("token").distinct()
+        wanted = F.broadcast(wanted) if self.asked.count() <= BROADCAST_TOKENS else wanted
+        toks = docs.select(id_, bm25_tokens(F.coalesce(F.col(text), F.lit("")), stopwords).alias("t"))
+        rows = toks.select(id_, F.explode(F.concat("t", F.array(F.lit(_TEXT)))).alias("token"), F.size("t").cast("long").alias("dl"))
+        rows = rows.join(wanted.union(docs.sparkSession.range(1).select(F.lit(_TEXT))), "token", "left_semi")
+        counts = stage(rows.groupBy(id_, "token").agg(F.count("*").alias("tf"), F.first("dl").alias("dl")), "counts")
+        self.counts = counts.where(F.col("token") != _TEXT)
+        # a text's own row counts once for each text, also where ids repeat
+        df = F.sum(F.when(F.col("token") == _TEXT, F.col("tf")).otherwise(1))
+        self.terms, self.stats = _terms(counts.groupBy("token").agg(df.alias("df"), F.sum(F.col("dl") * F.when(F.col("token") == _TEXT, F.col("tf")).otherwise(0)).alias("size")))
+
+    def search(self, k: int, boosted=BOOSTED, k1: float = 1.5, b: float = 0.75) -> DataFrame:
+        weigh = lambda c: encode(c, self.terms, self.stats, boosted, k1, b)
+        return search(weigh(self.asked), weigh(self.counts), self.qid, self.id, k)
+
+
 def weight(tf: Column, dl: Column, idf: Column, avgdl: Column, token: Column, k1: float = 1.5, b: float = 0.75, boosted=BOOSTED, boost: float = 1.5) -> Column:
     w = idf * (tf * (k1 + 1)) / (tf + k1 * (1 - b + b * dl / F.greatest(avgdl, F.lit(1.0))))
     return w * F.when(token.isin(*boosted), boost).otherwise(1.0) if boosted else w

@@ -1,8 +1,8 @@
 """The queries over the retrieval engine and their SQL.
 
 Bindings: documents are chunks (lang is the type, source the file name, 1990 + doc_id % 35 the year); all benchmark
-items are questions; embeddings are vectors, those with an id below 10 the stated dense queries; an assistant turn is an
-answer to the user turn before it, and the other turns of its conversation are its hits.
+items are questions; embeddings are vectors, those with an id divisible by 20 the stated dense queries, and an item's
+question has the vector of its id; an assistant turn is an answer to the user turn before it, and the other turns of its conversation are its hits.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import lexicons
 from ..functions import metadata as M
 from ..functions import text as T
 from ..operators import catalog, citations, confidence, dense, fusion, images, rerank, sparse, validation, variants
@@ -51,34 +52,32 @@ def hits_sql(col, phrases):
 
 
 COUNTS = lambda tab, i: f"(SELECT {i}, token, count(*) tf, any_value(dl) dl FROM (SELECT {i}, unnest(tk) token, len(tk) dl FROM (SELECT {i}, {tokens_sql('text')} tk FROM {tab})) GROUP BY 1, 2)"
-BM25 = f"""counts AS {COUNTS('documents', 'doc_id')}, stats AS (SELECT count(*)::DOUBLE n, sum(len({tokens_sql('text')}))::DOUBLE / count(*) avgdl FROM documents),
+BM25 = f"""tkd AS MATERIALIZED (SELECT doc_id, {tokens_sql('text')} tk FROM documents),
+counts AS MATERIALIZED (SELECT doc_id, token, count(*) tf, any_value(dl) dl FROM (SELECT doc_id, unnest(tk) token, len(tk) dl FROM tkd) GROUP BY 1, 2), stats AS (SELECT count(*)::DOUBLE n, sum(coalesce(len(tk), 0))::DOUBLE / count(*) avgdl FROM tkd),
 terms AS (SELECT token, count(*) df, ln((n - count(*) + 0.5) / (count(*) + 0.5) + 1) idf FROM counts, stats GROUP BY token, n),
 dw AS (SELECT doc_id, c.token, idf * (tf * 2.5) / (tf + 1.5 * (0.25 + 0.75 * dl / greatest(avgdl, 1.0))) * CASE WHEN c.token IN ({q(*BOOST)}) THEN 1.5 ELSE 1 END w FROM counts c JOIN terms USING (token), stats),
 qc AS {COUNTS('benchmark', 'item_id')},
 qw AS (SELECT item_id, c.token, idf * (tf * 2.5) / (tf + 1.5 * (0.25 + 0.75 * dl / greatest(avgdl, 1.0))) * CASE WHEN c.token IN ({q(*BOOST)}) THEN 1.5 ELSE 1 END w FROM qc c JOIN terms USING (token), stats),
 sp AS (SELECT item_id, doc_id, round(sum(qw.w * dw.w), 10) score FROM qw JOIN dw USING (token) GROUP BY 1, 2),
 spk AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) rank FROM sp QUALIFY rank <= {2 * K})"""
-DENSE = """dn AS (SELECT a.vec_id query_id, b.vec_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) score FROM embeddings a, embeddings b WHERE a.vec_id < 10),
+DENSE = """dn AS (SELECT a.vec_id query_id, b.vec_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) score FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0),
 dnk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) rank FROM dn WHERE score >= 0.3 QUALIFY rank <= 16)"""
-RRF = f"""{BM25}, {DENSE}, lists AS (SELECT query_id qid, 0 list_no, rank, vec_id chunk_id FROM dnk UNION ALL SELECT item_id, 1, rank, doc_id FROM spk),
+RRF = f"""{BM25}, {DENSE.replace('a.vec_id % 20 = 0', 'a.vec_id IN (SELECT item_id FROM benchmark)')}, lists AS (SELECT query_id qid, 0 list_no, rank, vec_id chunk_id FROM dnk UNION ALL SELECT item_id, 1, rank, doc_id FROM spk),
 fused AS (SELECT qid, chunk_id, round(sum(1.0::DOUBLE / (60 + rank)), 12) rrf, min(list_no * 1000 + rank) f FROM lists GROUP BY 1, 2),
 top AS (SELECT qid, chunk_id, round(rrf * 100, 4) score, row_number() OVER (PARTITION BY qid ORDER BY rrf DESC, f, chunk_id) rank FROM fused QUALIFY rank <= {2 * K})"""
 
 
-def _bm25(spark, d):
-    docs = _docs(spark, d)
-    counts = sparse.token_counts(docs, "doc_id", stopwords=STOP)
-    terms, stats = sparse.fit(docs, "doc_id", stopwords=STOP)
-    return counts, terms, stats
+def _fit(spark, d):
+    return sparse.fit(_docs(spark, d), "doc_id", stopwords=STOP)
 
 
 def bm25_fit(spark, d):
-    return _bm25(spark, d)[1].select("token", "df", F.round("idf", 6).alias("idf"))
+    return _fit(spark, d)[0].select("token", "df", F.round("idf", 6).alias("idf"))
 
 
 def bm25_encode(spark, d):
-    c, terms, stats = _bm25(spark, d)
-    return sparse.encode(c, terms, stats, BOOST).select("doc_id", "token", "tf", F.round("w", 6).alias("w"))
+    counts = sparse.token_counts(_docs(spark, d), "doc_id", stopwords=STOP)
+    return sparse.encode(counts, *_fit(spark, d), BOOST).select("doc_id", "token", "tf", F.round("w", 6).alias("w"))
 
 
 def tokenize_counts(spark, d):
@@ -92,26 +91,27 @@ def bm25_fallback(spark, d):
 
 def incremental_vocab(spark, d):
     docs = t(spark, d, "documents")
-    terms, _ = sparse.fit(docs.where("doc_id < 100"), "doc_id", stopwords=STOP)
-    grown = sparse.update(terms, docs.where("doc_id >= 100"), stopwords=STOP)
+    half = F.lit(docs.agg(F.floor((F.min("doc_id") + F.max("doc_id")) / 2)).first()[0])
+    terms, _ = sparse.fit(docs.where(F.col("doc_id") < half), "doc_id", stopwords=STOP)
+    grown = sparse.update(terms, docs.where(F.col("doc_id") >= half), stopwords=STOP)
     return grown.select("token", F.round(F.coalesce("idf", F.lit(0.5)), 6).alias("idf"))
 
 
 def _sparse_lists(spark, d, k=2 * K):
-    c, terms, stats = _bm25(spark, d)
-    queries = sparse.encode(sparse.token_counts(t(spark, d, "benchmark"), "item_id", stopwords=STOP), terms, stats, BOOST)
-    return sparse.search(queries, sparse.encode(c, terms, stats, BOOST), "item_id", "doc_id", k)
+    return sparse.Index(_docs(spark, d), "doc_id", t(spark, d, "benchmark"), "item_id", stopwords=STOP).search(k, BOOST)
 
 
 def sparse_topk(spark, d):
     return _sparse_lists(spark, d).select("item_id", "doc_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
-def _dense_lists(spark, d, corpus_filter=None):
+def _dense_lists(spark, d, corpus_filter=None, items=None):
+    """Of the stated queries, or of the vectors that have the ids of items."""
     e = t(spark, d, "embeddings")
     corpus = e.select("vec_id", F.col("embedding").alias("v"), "label")
     corpus = corpus.where(corpus_filter) if corpus_filter is not None else corpus
-    queries = e.where("vec_id < 10").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    queries = e.where("vec_id % 20 = 0") if items is None else e.join(items.select(F.col("item_id").alias("vec_id")).distinct(), "vec_id", "left_semi")
+    queries = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
     return dense.search(queries, corpus, "query_id", "vec_id", 2 * K)
 
 
@@ -129,7 +129,7 @@ def filter_predicate(spark, d):
 
 def _hits(spark, d):
     sp = _sparse_lists(spark, d).select(F.col("item_id").alias("qid"), F.lit(1).alias("list_no"), "rank", F.col("doc_id").alias("chunk_id"))
-    dn = _dense_lists(spark, d).select(F.col("query_id").alias("qid"), F.lit(0).alias("list_no"), "rank", F.col("vec_id").alias("chunk_id"))
+    dn = _dense_lists(spark, d, items=t(spark, d, "benchmark")).select(F.col("query_id").alias("qid"), F.lit(0).alias("list_no"), "rank", F.col("vec_id").alias("chunk_id"))
     return fusion.fused_top(dn.union(sp), K)
 
 
@@ -219,7 +219,8 @@ def context_validation(spark, d):
     return v.select("qid", "quality_score", "coverage_score", "consistency_score", "is_valid", F.size("warnings").cast("long").alias("n_warnings"))
 
 
-SENTS = "list_filter(list_transform(string_split(regexp_replace(answer, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda s: trim(s, ' ' || chr(10) || chr(9) || chr(13))), lambda s: len(s) >= 20 AND (regexp_matches(s, '(?i)' || num) OR (contains(lower(s), 'is') OR contains(lower(s), 'are') OR contains(lower(s), 'was') OR contains(lower(s), 'were') OR contains(lower(s), 'has been') OR contains(lower(s), 'have been')) AND len(regexp_split_to_array(s, '\\s+')) >= 8))"
+MORE = " OR ".join(f"regexp_matches(s, {q('(?i)' + p)})" for p in lexicons.CLAIM_PATTERNS)
+SENTS = "list_filter(list_transform(string_split(regexp_replace(answer, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda s: trim(s, ' ' || chr(10) || chr(9) || chr(13))), lambda s: len(s) >= 20 AND (regexp_matches(s, '(?i)' || num) OR {MORE} OR (contains(lower(s), 'is') OR contains(lower(s), 'are') OR contains(lower(s), 'was') OR contains(lower(s), 'were') OR contains(lower(s), 'has been') OR contains(lower(s), 'have been')) AND len(regexp_split_to_array(s, '\\s+')) >= 8))".replace("{MORE}", MORE)
 CLAIMS = f"""sn AS (SELECT qid, list_slice({SENTS}, 1, 20) l FROM qa, (SELECT '\\b\\d+(?:\\.\\d+)?(?:\\s*-\\s*\\d+(?:\\.\\d+)?)?\\s*(?:%|mg|mcg|g|ml|mmhg|mmol|ng|pg|iu|units?|hours?|days?|weeks?|months?|years?)\\b' num)),
 cl AS (SELECT qid, unnest(range(1, len(l) + 1)) claim_no, unnest(l) claim FROM sn),
 vj AS (SELECT cl.qid, claim_no, claim, regexp_extract_all(claim, '\\b\\d+(?:\\.\\d+)?\\b') nums, h.text, chunk_id, rank, CASE WHEN len({terms_sql('h.text')}) > 0 THEN CASE WHEN len({terms_sql('claim')}) > 0 THEN len(list_intersect({terms_sql('claim')}, {terms_sql('h.text')}))::DOUBLE / len({terms_sql('claim')}) ELSE 0 END END o FROM cl LEFT JOIN h USING (qid)),
@@ -233,11 +234,11 @@ vv AS (SELECT *, n > 0 AND quality_score >= 0.25 AND coverage_score >= 0.15 is_v
 
 def _verified(spark, d):
     qa, h = _turns(spark, d)
-    return qa, validation.verify_claims(validation.extract_claims(qa, patterns=()), h)
+    return qa, validation.verify_claims(validation.extract_claims(qa), h)
 
 
 def extract_claims(spark, d):
-    return validation.extract_claims(_turns(spark, d)[0], patterns=()).select("qid", F.col("claim_no").cast("long").alias("claim_no"), "claim")
+    return validation.extract_claims(_turns(spark, d)[0]).select("qid", F.col("claim_no").cast("long").alias("claim_no"), "claim")
 
 
 def verify_claims(spark, d):
@@ -375,10 +376,10 @@ ORACLE_SQL: dict[str, str] = {
     "bm25_fit": f"WITH {BM25} SELECT token, df, round(idf, 6) idf FROM terms",
     "bm25_encode": f"WITH {BM25} SELECT doc_id, dw.token, c.tf, round(w, 6) w FROM dw JOIN counts c USING (doc_id, token)",
     "bm25_fallback": f"WITH p AS (SELECT doc_id, unnest(range(len(tk))) pos, unnest(tk) token, len(tk) total FROM (SELECT doc_id, {tokens_sql('text')} tk FROM documents)), g AS (SELECT doc_id, token, count(*) tf, min(pos) pos, any_value(total) total FROM p GROUP BY 1, 2) SELECT doc_id, token, round(tf::DOUBLE / total, 9) w FROM g QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY tf DESC, pos) <= 64",
-    "incremental_vocab": f"WITH f AS (SELECT * FROM documents WHERE doc_id < 100), n AS (SELECT count(*)::DOUBLE n FROM f), c AS (SELECT token, count(*) df FROM (SELECT unnest(list_distinct({tokens_sql('text')})) token FROM f) GROUP BY 1), a AS (SELECT DISTINCT unnest({tokens_sql('text')}) token FROM documents) SELECT token, round(coalesce(ln((n - df + 0.5) / (df + 0.5) + 1), 0.5), 6) idf FROM a LEFT JOIN c USING (token), n",
+    "incremental_vocab": f"WITH f AS (SELECT * FROM documents WHERE doc_id < (SELECT floor((min(doc_id) + max(doc_id)) / 2) FROM documents)), n AS (SELECT count(*)::DOUBLE n FROM f), c AS (SELECT token, count(*) df FROM (SELECT unnest(list_distinct({tokens_sql('text')})) token FROM f) GROUP BY 1), a AS (SELECT DISTINCT unnest({tokens_sql('text')}) token FROM documents) SELECT token, round(coalesce(ln((n - df + 0.5) / (df + 0.5) + 1), 0.5), 6) idf FROM a LEFT JOIN c USING (token), n",
     "sparse_topk": f"WITH {BM25} SELECT item_id, doc_id, round(score, 6) score, rank FROM spk",
     "dense_topk": f"WITH {DENSE} SELECT query_id, vec_id, score, rank FROM dnk",
-    "dense_topk_filtered": "WITH dn AS (SELECT a.vec_id query_id, b.vec_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) score FROM embeddings a, embeddings b WHERE a.vec_id < 10 AND b.label <= 4) SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) rank FROM dn WHERE score >= 0.3 QUALIFY rank <= 16",
+    "dense_topk_filtered": "WITH dn AS (SELECT a.vec_id query_id, b.vec_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) score FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0 AND b.label <= 4) SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) rank FROM dn WHERE score >= 0.3 QUALIFY rank <= 16",
     "filter_predicate": "SELECT doc_id, lang document_type, (1990 + doc_id % 35)::INT AS year FROM documents WHERE lang = 'en' AND 1990 + doc_id % 35 BETWEEN 2000 AND 2010",
     "rrf_fusion": f"WITH {RRF} SELECT qid, chunk_id, score, rank FROM top",
     "hybrid_retrieve": f"WITH {RRF} SELECT qid, chunk_id, score, rank, lang document_type, source filename FROM (SELECT *, count(*) OVER (PARTITION BY qid) n FROM top) JOIN documents ON chunk_id = doc_id WHERE rank <= greatest(1, floor(n * 0.6::DOUBLE)) AND rank <= 8",
@@ -399,6 +400,7 @@ ORACLE_SQL: dict[str, str] = {
     "citation_block": f"{CITED} SELECT qid, chr(10) || chr(10) || '**References:**' || chr(10) || string_agg(concat_ws(' — ', '[' || rank || ']', authors, source, '(' || year || ')', '*' || journal || '*', CASE WHEN page <> 0 THEN 'p. ' || page END, '§ ' || section), chr(10) ORDER BY rank) AS block FROM ct GROUP BY qid",
     "context_block": f"{CITED}, bl AS (SELECT qid, string_agg(concat_ws(' ', '[' || rank || '] ' || source, '(' || lang || ')', '| ' || authors, '| ' || year, CASE WHEN page <> 0 THEN '| p.' || page END, '| §' || section) || chr(10) || text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank) c FROM ct GROUP BY qid) SELECT item_id qid, coalesce(c, 'No relevant context retrieved.') context FROM benchmark LEFT JOIN bl ON item_id = qid",
     "key_phrases": f"SELECT doc_id, array_to_string(list_slice(list_filter(list_transform(regexp_split_to_array(text, '[.!?]'), lambda s: regexp_replace(s, '^{_WS}+|{_WS}+$', '', 'g')), lambda s: s <> '' AND len(regexp_split_to_array(s, '{_WS}+')) BETWEEN 4 AND 15), 1, 3), '|') phrases FROM documents",
+    "stream_ingest": "SELECT min(doc_id) doc_id, sha256(text) checksum FROM documents GROUP BY sha256(text)",
     "dedup_checksum": "SELECT min(doc_id) doc_id, sha256(text) checksum FROM documents GROUP BY sha256(text)",
     "clean_text": f"SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(text, '{_WS}+', ' ', 'g'), '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f]', '', 'g'), '^{_WS}+|{_WS}+$', '', 'g')) h, CASE WHEN len(text) > 40 THEN left(text, 40) || '...' ELSE text END short FROM documents",
     "file_names": "SELECT page_id, regexp_extract(lower(url), '\\.([^.]*)$', 1) ext, left(regexp_replace(url, '[^\\p{L}\\p{N}_.\\-]', '_', 'g'), 200) safe FROM pages",

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.catalog import new_documents
+from ..staging import fresh_path
 
 
 def write_batch(batch: DataFrame, path: str, by: str = "checksum", order: str = "document_id") -> None:
@@ -32,8 +30,7 @@ def start(stream: DataFrame, path: str, checkpoint: str, order: str = "document_
 
 def stream_once(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents table streamed into a new catalogue."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="skein-")
-    root = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    root = fresh_path(spark, "stream")
     schema = spark.read.parquet(f"{sf_dir}/documents.parquet").schema
     stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/documents[.]parquet").select("doc_id", F.sha2("text", 256).alias("checksum"))
     start(stream, f"{root}/catalogue", f"{root}/checkpoint", "doc_id").awaitTermination()
