@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..staging import fresh_path, stage
+
+__all__ = ["fresh_path", "stage"]
+
 #: Rows up to which a two- or three-column key table is broadcast; larger ones are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 KEY, FILE, ROW = "__row_key", "__file", "__row"
@@ -19,33 +20,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one only where that is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = tempfile.mkdtemp(prefix="skein-shared-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def fresh_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/skein-{label}-{uuid.uuid4().hex}"
-
-
-def stage(df: DataFrame, label: str) -> DataFrame:
-    """Write df as a Parquet table in the shared folder and read it back.
-
-    It cuts the lineage: what follows survives the loss of any executor and never computes df again."""
-    path = fresh_path(df.sparkSession, label)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def keyed(df: DataFrame) -> DataFrame:
     """df with a column that names each row, repeated rows included, and is the same on every scan.
 
     Rows of files are named by file and position. Other frames are staged first, as a key made up on the fly could
-    differ when a lost task is run again."""
+    differ when a lost task is run again. A column of that name gives way."""
+    df = clashing(df, KEY)
     try:
         out = df.withColumn(KEY, F.xxhash64("_metadata.file_path", "_metadata.row_index"))
         out.schema  # noqa: B018  analysis happens here

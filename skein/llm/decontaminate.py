@@ -24,6 +24,8 @@ from .common import table
 from .shingles import U64, mix, shingle_hashes, text_hashes, words_of
 
 WORDS, PERCENT, BANDS, ITEMS = 5, 80, 64, 50_000
+#: Bytes of items in a block, and shingles of a document that are looked at together.
+ITEM_BYTES, PIECE = 32_000_000, 16_384
 _SEEDS = mix(np.arange(1, BANDS + 1, dtype=U64) * U64(0x9E3779B97F4A7C15)) | U64(1)
 
 
@@ -52,7 +54,17 @@ class Index:
         self.values = {c: (np.unique(np.array([v for _, v in of], dtype=U64)), dict(of)) for c, of in sorted(found.items())}
 
     def candidates(self, h: np.ndarray) -> set[int]:
-        """Items that share a MinHash value with a window of a document with these shingle hashes, in order."""
+        """Items that share a MinHash value with a window of a document with these shingle hashes, in order.
+
+        Long documents are read in pieces of whole blocks, each with the block behind it, so memory is bounded."""
+        block = 1 << max(self.values, default=0)
+        step = max(block, PIECE // block * block)
+        out: set[int] = set()
+        for lo in range(0, len(h), step):
+            out |= self._candidates(h[lo : lo + step + block])
+        return out
+
+    def _candidates(self, h: np.ndarray) -> set[int]:
         out: set[int] = set()
         top = max(self.values, default=-1)
         least, size = None, 0
@@ -87,9 +99,10 @@ class Index:
 
 
 def blocks(benchmark: DataFrame, size: int = ITEMS) -> Iterator[list[tuple]]:
-    """The items (item_id, text), at most about `size` at a time."""
+    """The items (item_id, text), at most about `size` of them and ITEM_BYTES at a time."""
     items = benchmark.select("item_id", "text").where("text is not null")
-    parts = -(-items.count() // size)
+    n, held = items.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    parts = max(-(-n // size), -(-held // ITEM_BYTES)) if n else 0
     for p in range(parts):
         rows = items if parts == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == p)
         yield [tuple(r) for r in rows.orderBy("item_id", "text").collect()]
@@ -99,7 +112,8 @@ def find(docs: DataFrame, benchmark: DataFrame, n: int = WORDS, percent: int = P
     """(doc_id, item_id, item_shingles, shared) for each document and item of which percent or more lie in it.
 
     Shingles are of n words; a text of fewer words is one shingle. Null and blank texts, of either kind, hit nothing;
-    repeated documents and items each have rows of their own; ids may be null."""
+    repeated documents and items each have rows of their own; ids may be null. Without documents or items there are no
+    rows."""
     spark, out = docs.sparkSession, None
     shape = "doc_id long, item_id long, item_shingles long, shared long"
     for items in blocks(benchmark):

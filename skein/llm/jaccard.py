@@ -286,9 +286,9 @@ def keep_one(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     Of ties in doc_id one row stays; null ids count as the largest. An empty table stays empty. The texts are not
     shuffled while at most BROADCAST_ROWS rows go; beyond that the rows are joined by a shuffle."""
     names = docs.columns
-    rows = keyed(docs)
+    rows = keyed(docs.select(F.struct(*names).alias("__row"), "doc_id", "text"))
     linked = link(rows, n, percent).where("component is not null")
     many = linked.groupBy("component").agg(F.count("*").alias("n"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", KEY)).alias("lead"))
     lead = stage(many.where("n > 1").select("component", F.col(f"lead.{KEY}").alias("lead")), "leads")
     gone = linked.join(small(lead), "component").where(F.col(KEY) != F.col("lead")).select(KEY)
-    return rows.join(small(stage(gone, "gone")), KEY, "left_anti").select(*names)
+    return rows.join(small(stage(gone, "gone")), KEY, "left_anti").select("__row.*")

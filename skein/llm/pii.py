@@ -1,9 +1,11 @@
 """Personal data: fixed patterns give seed entities; bootstrapped contexts discover identifiers of other shapes.
 
-One pass over the texts finds the base spans and the candidates: words with a digit, of five characters or more, outside
-any base span. Both are instances; the words around them are patterns. Spark scores the graph of patterns and instances
-in rounds: a pattern by the share of its instances that are known, an instance by the patterns it occurs with. Where
-patterns that score high hold a candidate, it is a span of kind `other`.
+The first pass over the texts finds the base spans, which are the seeds, and the patterns around them: the two words
+before, and the word before with the word behind; the borders of a text count as words. Patterns that hold at least
+GRAPH_SEEDS different seeds of a kind make the graph. The second pass finds every word, of whatever shape, that stands
+where such a pattern leaves a gap: the instances. Spark scores the graph in rounds: for each kind, a pattern by the share
+of its instances that are known, an instance by the patterns that hold it. Where patterns that score high hold a word
+outside any base span, it is a span of kind `other`, and the best pattern's kind is what it is likely to be.
 """
 
 from __future__ import annotations
@@ -11,15 +13,19 @@ from __future__ import annotations
 import hashlib
 import re
 
+import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import KEY, keyed, stage, table
+from .shingles import U64, hash_words, mix
 
 KINDS = ("email", "ip", "card", "phone")
-ROUNDS, MIN_SEEDS, MIN_SCORE, MIN_LENGTH = 3, 3, 0.6, 5
+ROUNDS, GRAPH_SEEDS, MIN_SEEDS, MIN_SCORE, MIN_LENGTH = 3, 2, 3, 0.6, 3
+#: Patterns that one pass over the texts looks for; more are looked for in further passes.
+PATTERNS = 4_000_000
 LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
 #: An address from its @ on. What stands before it is found from the @ leftwards, so a long word costs nothing.
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -27,9 +33,12 @@ _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_WORD = re.compile(r"[^\s\"'<>()\[\]{},;|]+")
 _DIGIT = re.compile(r"[0-9]")
-_EDGE = ".:!?*#$%&"
+_EDGE = b".:!?*#$%&\"'<>()[]{},;|"
+_BEGIN, _END = U64(1), U64(2)
+
+
+_M = U64(0x9E3779B97F4A7C15), U64(0xBF58476D1CE4E5B9)
 
 
 def luhn(digits: str) -> bool:
@@ -71,43 +80,78 @@ def written(spans: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
 
 
+class Slots:
+    """A text's words as hashes, and the hashes of the patterns around each gap of one word or more."""
+
+    def __init__(self, text: str) -> None:
+        self.data = text.encode("utf-8", "surrogatepass")
+        self.h, self.first, self.end = hash_words(self.data)
+        self.padded = np.concatenate([[_BEGIN, _BEGIN], self.h, [_END]])
+        self.ascii = len(self.data) == len(text)
+        # code points before each byte
+        self.point = None if self.ascii else np.cumsum(np.append(0, (np.frombuffer(self.data, dtype=np.uint8) & 0xC0) != 0x80))
+
+    def patterns(self, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of the gaps from word i to word j: two words before, and one before with one behind."""
+        a, b, c = self.padded[i], self.padded[i + 1], self.padded[j + 3]
+        return mix(a * _M[0] + b * _M[1] + U64(7)).astype(np.int64), mix(b * _M[0] + c * _M[1] + U64(9)).astype(np.int64)
+
+    def points(self, at: np.ndarray) -> np.ndarray:
+        """Code points before the bytes."""
+        return at if self.ascii else self.point[at]
+
+    def words(self, spans: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
+        """First and last word of each span of code points."""
+        a, b = np.array(spans).T
+        if not self.ascii:
+            a, b = np.searchsorted(self.point, a, side="left"), np.searchsorted(self.point, b, side="left")
+        return np.searchsorted(self.end, a, side="right"), np.searchsorted(self.first, b, side="left") - 1
+
+    def trimmed(self, i: int) -> tuple[int, int]:
+        """The bytes of word i without marks at its ends."""
+        word = self.data[self.first[i] : self.end[i]]
+        return self.first[i] + len(word) - len(word.lstrip(_EDGE)), self.end[i] - len(word) + len(word.rstrip(_EDGE))
+
+
+def seeds(text: str, spans: list[tuple[str, int, int]]) -> list[dict]:
+    """A row for each base span and pattern around it: pattern, instance and kind."""
+    if not spans:
+        return []
+    slots = Slots(text)
+    i, j = slots.words([(a, b) for _, a, b in spans])
+    left, both = slots.patterns(i, j)
+    return [{"p": int(p), "i": _long(text[a:b]), "k": KINDS.index(kind)} for ps in (left, both) for p, (kind, a, b) in zip(ps, spans, strict=True)]
+
+
 def _long(s: str) -> int:
     return xxhash.xxh3_64_intdigest(s.encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
-def contexts(text: str, start: int, end: int) -> list[int]:
-    """Hashes of the patterns around a place: the two words before it, and one before with one behind."""
-    before = text[max(0, start - 80) : start].lower().split()[-2:]
-    behind = text[end : end + 40].lower().split()[:1]
+def instances(text: str, spans: list[tuple[str, int, int]], known: np.ndarray) -> list[tuple[int, int, int, int]]:
+    """(start, end, pattern, instance) of the words, outside base spans, that stand in the gap of a known pattern."""
+    slots = Slots(text)
+    n = np.arange(len(slots.h))
+    hits = []
+    for ps in slots.patterns(n, n):
+        at = np.minimum(np.searchsorted(known, ps), len(known) - 1)
+        hits += [(int(i), int(ps[i])) for i in np.nonzero(known[at] == ps)[0]]
+    if not hits:
+        return []
+    taken = np.zeros(len(slots.h) + 1, dtype=bool)
+    if spans:
+        for i, j in zip(*slots.words([(a, b) for _, a, b in spans]), strict=True):
+            taken[i : j + 1] = True
     out = []
-    if len(before) == 2:
-        out.append(_long("\x01".join(["L", *before])))
-    if before and behind:
-        out.append(_long("\x01".join(["B", before[-1], behind[0]])))
-    return out
-
-
-def instances(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[int, int, int, int, bool]]:
-    """(start, end, pattern, instance, seed) of seeds and candidates, a row for each pattern."""
-    out, taken = [], sorted((a, b) for _, a, b in spans)
-    for a, b in taken:
-        out += [(a, b, p, _long(text[a:b]), True) for p in contexts(text, a, b)]
-    if not any(d in text for d in "0123456789"):
-        return out
-    at = 0
-    for m in _WORD.finditer(text):
-        if not _DIGIT.search(m[0]):
-            continue
-        a, b = m.start() + len(m[0]) - len(m[0].lstrip(_EDGE)), m.end() - len(m[0]) + len(m[0].rstrip(_EDGE))
-        while at < len(taken) and taken[at][1] <= a:
-            at += 1
-        if b - a >= MIN_LENGTH and not any(x < b and a < y for x, y in taken[at:][:4]):
-            out += [(a, b, p, _long(text[a:b]), False) for p in contexts(text, a, b)]
+    for i, p in sorted(hits):
+        a, b = slots.trimmed(i)
+        if not taken[i] and b - a >= MIN_LENGTH:
+            s, e = (int(x) for x in slots.points(np.array([a, b])))
+            out.append((s, e, p, _long(text[s:e])))
     return out
 
 
 def extract(docs: DataFrame) -> DataFrame:
-    """Base results and instances of each row, staged."""
+    """Base results and the seeds' patterns of each row, staged."""
 
     def run(frames):
         for frame in frames:
@@ -116,41 +160,77 @@ def extract(docs: DataFrame) -> DataFrame:
                 spans = base_spans(text or "")
                 said = written(spans)
                 counts = [sum(k == kind for k, _, _ in spans) for kind in KINDS]
-                rows.append((key, doc_id, *counts, hashlib.sha256(said.encode()).hexdigest(), said, [{"s": a, "e": b, "p": p, "i": i, "seed": x} for a, b, p, i, x in instances(text or "", spans)]))
+                rows.append((key, doc_id, *counts, hashlib.sha256(said.encode()).hexdigest(), said, seeds(text or "", spans)))
             yield pd.DataFrame(rows, columns=[KEY, "doc_id", *[f"n_{k}" for k in KINDS], "base_sha256", "base", "found"], dtype=object).astype({KEY: "int64", "doc_id": "Int64"} | {f"n_{k}": "int64" for k in KINDS})
 
     counts = ", ".join(f"n_{k} long" for k in KINDS)
-    return stage(docs.select(KEY, "doc_id", "text").mapInPandas(run, f"{KEY} long, doc_id long, {counts}, base_sha256 string, base string, found array<struct<s:int,e:int,p:long,i:long,seed:boolean>>"), "spans")
+    return stage(docs.select(KEY, "doc_id", "text").mapInPandas(run, f"{KEY} long, doc_id long, {counts}, base_sha256 string, base string, found array<struct<p:long,i:long,k:int>>"), "spans")
+
+
+def occurrences(docs: DataFrame, patterns: DataFrame) -> DataFrame:
+    """(row key, s, e, p, i) of the words in the gaps of the patterns (p), staged. A pass takes about PATTERNS of them."""
+    spark, out = docs.sparkSession, spark_empty(docs)
+    parts = -(-patterns.count() // PATTERNS)
+    for part in range(parts):
+        some = patterns if parts == 1 else patterns.where(F.pmod(F.xxhash64("p"), F.lit(parts)) == part)
+        held = spark.sparkContext.broadcast(np.sort(np.array([r["p"] for r in some.collect()], dtype=np.int64)))
+
+        def run(frames, held=held):
+            for frame in frames:
+                rows = [(key, *x) for key, text in zip(frame[KEY], frame["text"], strict=True) if text and len(held.value) for x in instances(text, base_spans(text), held.value)]
+                yield pd.DataFrame(rows, columns=[KEY, "s", "e", "p", "i"], dtype="int64").astype({"s": "int32", "e": "int32"})
+
+        out = out.union(docs.select(KEY, "text").mapInPandas(run, _PLACES))
+    return stage(out, "places")
+
+
+_PLACES = f"{KEY} long, s int, e int, p long, i long"
+
+
+def spark_empty(docs: DataFrame) -> DataFrame:
+    return docs.sparkSession.createDataFrame([], _PLACES)
 
 
-def good_patterns(found: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """(p, score) of the patterns that score MIN_SCORE or more, from the occurrences (p, i, seed).
+def good_patterns(seeded: DataFrame, places: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+    """(p, k, score) of the patterns that score MIN_SCORE or more for a kind, from the seeds' edges (p, i, k) and the
+    other occurrences (p, i). A pattern that is good for several kinds has a row for each.
 
     Occurrences are reduced to distinct edges first, so a pattern or instance that is everywhere has few rows."""
-    edges = stage(found.groupBy("p", "i").agg(F.max("seed").alias("seed")), "edges")
-    known = edges.groupBy("i").agg(F.max("seed").cast("double").alias("v"))
+    edges = stage(places.select("p", "i").union(seeded.select("p", "i")).distinct(), "edges")
+    size = stage(edges.groupBy("p").agg(F.count("*").alias("n")), "sizes")
+    sure = stage(seeded.select("i", "k", F.lit(1.0).alias("v")).distinct(), "sure")
+    known = sure
     for _ in range(rounds):
         known = stage(known, "known")
-        scored = edges.join(known, "i").groupBy("p").agg(F.sum("v").alias("hits"), F.count("*").alias("n"))
-        patterns = stage(scored.where(F.col("hits") >= MIN_SEEDS).select("p", (F.col("hits") / (F.col("n") + 1)).alias("score")).where(F.col("score") >= MIN_SCORE), "patterns")
-        lifted = edges.join(patterns, "p").groupBy("i").agg((1 - F.exp(F.sum(F.log(1 - F.col("score"))))).alias("lift"))
-        known = known.join(lifted, "i", "left").select("i", F.greatest("v", F.coalesce("lift", F.lit(0.0))).alias("v"))
+        scored = edges.join(known, "i").groupBy("p", "k").agg(F.sum("v").alias("hits")).join(size, "p")
+        patterns = stage(scored.where(F.col("hits") >= MIN_SEEDS).select("p", "k", (F.col("hits") / (F.col("n") + 1)).alias("score")).where(F.col("score") >= MIN_SCORE), "patterns")
+        lifted = edges.join(patterns, "p").groupBy("i", "k").agg((1 - F.exp(F.sum(F.log(1 - F.col("score"))))).alias("v"))
+        known = lifted.union(sure).groupBy("i", "k").agg(F.max("v").alias("v"))
     return patterns
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """Base counts, base_sha256 and all spans of each row; spans of kind `other` stand behind the base ones.
-
-    Null and empty texts have no spans. Ids may be null, rows may repeat, and other columns are not read."""
-    rows = extract(keyed(docs.select("doc_id", "text")))
-    places = rows.select(KEY, F.explode("found").alias("x")).select(KEY, "x.*")
-    patterns = good_patterns(places)
-    new = places.where("not seed").join(patterns, "p").select(KEY, "s", "e").distinct()
-    new = new.groupBy(KEY).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("s", "e"))), lambda x: F.concat(F.lit("other:"), x["s"].cast("string"), F.lit(":"), x["e"].cast("string"))), ",").alias("more"))
-    out = rows.drop("found").join(new, KEY, "left")
+    """Base counts, base_sha256, all spans and the likely kinds of the discovered ones, in their order, of each row;
+    spans of kind `other` stand behind the base ones.
+
+    Null and empty texts have no spans. Ids may be null, rows may repeat, an empty table gives no rows, and other columns
+    are not read."""
+    texts = keyed(docs.select("doc_id", "text"))
+    rows = extract(texts)
+    seeded = stage(rows.select(F.explode("found").alias("x")).select("x.*").distinct(), "seeds")
+    graph = stage(seeded.groupBy("p", "k").agg(F.count("*").alias("n")).where(F.col("n") >= GRAPH_SEEDS).select("p").distinct(), "graph")
+    places = occurrences(texts, graph)
+    patterns = good_patterns(seeded.join(graph, "p", "left_semi"), places)
+    best = F.max(F.struct("score", -F.col("k"))).alias("best")
+    new = places.join(patterns, "p").groupBy(KEY, "s", "e").agg(best).select(KEY, F.struct("s", "e", (-F.col("best.col2")).alias("k")).alias("x"))
+    new = new.groupBy(KEY).agg(F.sort_array(F.collect_list("x")).alias("x"))
+    named = F.array(*map(F.lit, KINDS))
+    spans = F.array_join(F.transform("x", lambda x: F.concat(F.lit("other:"), x["s"].cast("string"), F.lit(":"), x["e"].cast("string"))), ",")
+    out = rows.drop("found").join(new.select(KEY, spans.alias("more"), F.array_join(F.transform("x", lambda x: F.get(named, x["k"])), ",").alias("likely")), KEY, "left")
     said = F.concat_ws(",", F.when(F.col("base") != "", F.col("base")), "more")
-    return out.select("doc_id", *[f"n_{k}" for k in KINDS], "base_sha256", said.alias("spans"))
+    return out.select("doc_id", *[f"n_{k}" for k in KINDS], "base_sha256", said.alias("spans"), F.coalesce("likely", F.lit("")).alias("other_kinds"))
 
 
 def op3_pii(spark, sf_dir: str) -> DataFrame:
+    """scan() over all documents; nulls count as there."""
     return scan(table(spark, sf_dir, "documents"))

@@ -85,6 +85,26 @@ def test_pii_discovers_by_context(spark):
     assert spans[20] == "other:16:26" and spans[21] == ""
 
 
+def test_pii_finds_planted_identifiers(spark):
+    rng = np.random.default_rng(6)
+    word = lambda: "".join(rng.choice(list("abcdefghij"), 5))
+    prose = lambda n: " ".join(word() for _ in range(n))
+    rows, planted = [], set()
+    for i in range(300):
+        rows.append((i, f"{prose(8)} É reach me at {word()}{i}@mail.example.org any time {prose(8)}" if i % 2 else f"{prose(5)} call her on +1 555 {1000000 + i} today {prose(9)}"))
+    for i in range(300, 360):  # identifiers of no base shape, with and without digits
+        name = f"{word()}.{word()}" if i % 2 else f"{word()}-{i}"
+        text = f"{prose(6)} ü reach me at {name} any time {prose(6)}"
+        planted.add((i, text.index(name), text.index(name) + len(name)))
+        rows.append((i, text))
+    rows += [(i, f"{prose(30)} at {word()} any {prose(10)} 12{i}") for i in range(400, 700)]
+    got = {(r["doc_id"], *map(int, x.split(":")[1:])) for r in pii.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect() for x in r["spans"].split(",") if x.startswith("other")}
+    assert len(got & planted) / len(planted) == 1.0 and len(got & planted) / len(got) == 1.0  # recall, precision
+    kinds = {r["other_kinds"] for r in pii.scan(spark.createDataFrame(rows, "doc_id long, text string")).where("doc_id >= 300 and doc_id < 360").collect()}
+    assert kinds == {"email"}
+    assert pii.scan(spark.createDataFrame([(1, "at x@y.org"), (2, "x@y.org"), (3, "")], "doc_id long, text string")).count() == 3
+
+
 def plain_quality(text):
     w = re.findall("[^\x20\x09-\x0d]+", text)
     at = {}

@@ -154,7 +154,9 @@ def benchmark(spark, rows):
 
 
 @pytest.mark.parametrize("size", [decontaminate.ITEMS, 10])
-def test_decontamination(docs, rows, benchmark, monkeypatch, size):
+@pytest.mark.parametrize("piece", [decontaminate.PIECE, 1])
+def test_decontamination(docs, rows, benchmark, monkeypatch, size, piece):
+    monkeypatch.setattr(decontaminate, "PIECE", piece)
     monkeypatch.setattr(decontaminate.blocks, "__defaults__", (size,))
     sets = [(i, shingles(t, 5)) for i, t in rows]
     want = Counter()
