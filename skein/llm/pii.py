@@ -1,11 +1,12 @@
 """Personal data: fixed patterns give seed entities; bootstrapped contexts discover identifiers of other shapes.
 
-The first pass over the texts finds the base spans, which are the seeds, and the patterns around them: the two words
-before, and the word before with the word behind; the borders of a text count as words. Patterns that hold at least
-GRAPH_SEEDS different seeds of a kind make the graph. The second pass finds every word, of whatever shape, that stands
-where such a pattern leaves a gap: the instances. Spark scores the graph in rounds: for each kind, a pattern by the share
-of its instances that are known, an instance by the patterns that hold it. Where patterns that score high hold a word
-outside any base span, it is a span of kind `other`, and the best pattern's kind is what it is likely to be.
+The first pass over the texts finds the base spans, which are the seeds, the candidates (words outside any base span with
+a digit, or with a mark such as a dot or hyphen between other characters; plain words are none), and the patterns around
+both: the two words before, and the word before with the word behind; the borders of a text count as words. Patterns that
+hold at least GRAPH_SEEDS different seeds and a candidate make the graph. The second pass counts how often each of them
+occurs, around words of whatever shape. Spark scores the graph in rounds: for each kind, a pattern by the share of its
+occurrences that hold known instances, an instance by the patterns that hold it. Where patterns that score high hold a
+candidate, it is a span of kind `other`, and the best pattern's kind is what it is likely to be.
 """
 
 from __future__ import annotations
@@ -19,12 +20,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import KEY, keyed, stage, table
+from .common import KEY, keyed, small, stage, table
 from .shingles import U64, hash_words, mix
 
 KINDS = ("email", "ip", "card", "phone")
 ROUNDS, GRAPH_SEEDS, MIN_SEEDS, MIN_SCORE, MIN_LENGTH = 3, 2, 3, 0.6, 3
-#: Patterns that one pass over the texts looks for; more are looked for in further passes.
+#: Patterns that one pass over the texts counts; more are counted in further passes.
 PATTERNS = 4_000_000
 LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
 #: An address from its @ on. What stands before it is found from the @ leftwards, so a long word costs nothing.
@@ -35,6 +36,10 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 _EDGE = b".:!?*#$%&\"'<>()[]{},;|"
+#: Bytes that make a word one that may be an identifier, and texts that may hold one.
+_SHAPE = np.zeros(256, dtype=bool)
+_SHAPE[list(b"0123456789._-+@/:=")] = True
+_MAY = re.compile(r"[0-9._+@/:=-]")
 _BEGIN, _END = U64(1), U64(2)
 
 
@@ -107,51 +112,47 @@ class Slots:
             a, b = np.searchsorted(self.point, a, side="left"), np.searchsorted(self.point, b, side="left")
         return np.searchsorted(self.end, a, side="right"), np.searchsorted(self.first, b, side="left") - 1
 
-    def trimmed(self, i: int) -> tuple[int, int]:
-        """The bytes of word i without marks at its ends."""
-        word = self.data[self.first[i] : self.end[i]]
-        return self.first[i] + len(word) - len(word.lstrip(_EDGE)), self.end[i] - len(word) + len(word.rstrip(_EDGE))
+    def candidates(self) -> list[tuple[int, int, int]]:
+        """(word, first byte, byte behind it) of the words that may be identifiers, without marks at their ends."""
+        data = np.frombuffer(self.data, dtype=np.uint8)
+        some = np.cumsum(np.append(0, _SHAPE[data]))
+        out = []
+        for i in np.nonzero(some[self.end] > some[self.first])[0]:
+            word = self.data[self.first[i] : self.end[i]]
+            a, b = int(self.first[i]) + len(word) - len(word.lstrip(_EDGE)), int(self.end[i]) - len(word) + len(word.rstrip(_EDGE))
+            if b - a >= MIN_LENGTH and some[b] > some[a]:
+                out.append((int(i), a, b))
+        return out
 
 
-def seeds(text: str, spans: list[tuple[str, int, int]]) -> list[dict]:
-    """A row for each base span and pattern around it: pattern, instance and kind."""
-    if not spans:
+def instances(text: str, spans: list[tuple[str, int, int]]) -> list[dict]:
+    """Place, pattern, instance and kind (-1 for a candidate) of base spans and candidates, a row for each pattern."""
+    if not spans and not _MAY.search(text):
         return []
     slots = Slots(text)
-    i, j = slots.words([(a, b) for _, a, b in spans])
-    left, both = slots.patterns(i, j)
-    return [{"p": int(p), "i": _long(text[a:b]), "k": KINDS.index(kind)} for ps in (left, both) for p, (kind, a, b) in zip(ps, spans, strict=True)]
+    taken = np.zeros(len(slots.h) + 1, dtype=bool)
+    found = []
+    if spans:
+        first, last = slots.words([(a, b) for _, a, b in spans])
+        for i, j, (kind, a, b) in zip(first, last, spans, strict=True):
+            taken[i : j + 1] = True
+            found.append((i, j, a, b, KINDS.index(kind)))
+    free = [x for x in slots.candidates() if not taken[x[0]]]
+    if free:
+        at = slots.points(np.array([x[1:] for x in free]))
+        found += [(i, i, int(a), int(b), -1) for (i, _, _), (a, b) in zip(free, at, strict=True)]
+    if not found:
+        return []
+    left, both = slots.patterns(np.array([x[0] for x in found]), np.array([x[1] for x in found]))
+    return [{"s": a, "e": b, "p": int(p), "i": _long(text[a:b]), "k": k} for ps in (left, both) for p, (_, _, a, b, k) in zip(ps, found, strict=True)]
 
 
 def _long(s: str) -> int:
     return xxhash.xxh3_64_intdigest(s.encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
-def instances(text: str, spans: list[tuple[str, int, int]], known: np.ndarray) -> list[tuple[int, int, int, int]]:
-    """(start, end, pattern, instance) of the words, outside base spans, that stand in the gap of a known pattern."""
-    slots = Slots(text)
-    n = np.arange(len(slots.h))
-    hits = []
-    for ps in slots.patterns(n, n):
-        at = np.minimum(np.searchsorted(known, ps), len(known) - 1)
-        hits += [(int(i), int(ps[i])) for i in np.nonzero(known[at] == ps)[0]]
-    if not hits:
-        return []
-    taken = np.zeros(len(slots.h) + 1, dtype=bool)
-    if spans:
-        for i, j in zip(*slots.words([(a, b) for _, a, b in spans]), strict=True):
-            taken[i : j + 1] = True
-    out = []
-    for i, p in sorted(hits):
-        a, b = slots.trimmed(i)
-        if not taken[i] and b - a >= MIN_LENGTH:
-            s, e = (int(x) for x in slots.points(np.array([a, b])))
-            out.append((s, e, p, _long(text[s:e])))
-    return out
-
-
 def extract(docs: DataFrame) -> DataFrame:
-    """Base results and the seeds' patterns of each row, staged."""
+    """Base results, and the instances with their patterns, of each row, staged."""
 
     def run(frames):
         for frame in frames:
@@ -160,50 +161,52 @@ def extract(docs: DataFrame) -> DataFrame:
                 spans = base_spans(text or "")
                 said = written(spans)
                 counts = [sum(k == kind for k, _, _ in spans) for kind in KINDS]
-                rows.append((key, doc_id, *counts, hashlib.sha256(said.encode()).hexdigest(), said, seeds(text or "", spans)))
+                rows.append((key, doc_id, *counts, hashlib.sha256(said.encode()).hexdigest(), said, instances(text or "", spans)))
             yield pd.DataFrame(rows, columns=[KEY, "doc_id", *[f"n_{k}" for k in KINDS], "base_sha256", "base", "found"], dtype=object).astype({KEY: "int64", "doc_id": "Int64"} | {f"n_{k}": "int64" for k in KINDS})
 
     counts = ", ".join(f"n_{k} long" for k in KINDS)
-    return stage(docs.select(KEY, "doc_id", "text").mapInPandas(run, f"{KEY} long, doc_id long, {counts}, base_sha256 string, base string, found array<struct<p:long,i:long,k:int>>"), "spans")
+    return stage(docs.select(KEY, "doc_id", "text").mapInPandas(run, f"{KEY} long, doc_id long, {counts}, base_sha256 string, base string, found array<struct<s:int,e:int,p:long,i:long,k:int>>"), "spans")
 
 
 def occurrences(docs: DataFrame, patterns: DataFrame) -> DataFrame:
-    """(row key, s, e, p, i) of the words in the gaps of the patterns (p), staged. A pass takes about PATTERNS of them."""
-    spark, out = docs.sparkSession, spark_empty(docs)
+    """(p, n): how often each of the patterns (p) occurs, staged. A pass takes about PATTERNS of them."""
+    spark = docs.sparkSession
+    out = patterns.select("p", F.lit(0).cast("long").alias("n"))
     parts = -(-patterns.count() // PATTERNS)
     for part in range(parts):
         some = patterns if parts == 1 else patterns.where(F.pmod(F.xxhash64("p"), F.lit(parts)) == part)
         held = spark.sparkContext.broadcast(np.sort(np.array([r["p"] for r in some.collect()], dtype=np.int64)))
 
         def run(frames, held=held):
+            known = held.value
+            count = np.zeros(len(known) + 1, dtype=np.int64)
             for frame in frames:
-                rows = [(key, *x) for key, text in zip(frame[KEY], frame["text"], strict=True) if text and len(held.value) for x in instances(text, base_spans(text), held.value)]
-                yield pd.DataFrame(rows, columns=[KEY, "s", "e", "p", "i"], dtype="int64").astype({"s": "int32", "e": "int32"})
-
-        out = out.union(docs.select(KEY, "text").mapInPandas(run, _PLACES))
-    return stage(out, "places")
-
-
-_PLACES = f"{KEY} long, s int, e int, p long, i long"
-
-
-def spark_empty(docs: DataFrame) -> DataFrame:
-    return docs.sparkSession.createDataFrame([], _PLACES)
-
-
-def good_patterns(seeded: DataFrame, places: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """(p, k, score) of the patterns that score MIN_SCORE or more for a kind, from the seeds' edges (p, i, k) and the
-    other occurrences (p, i). A pattern that is good for several kinds has a row for each.
-
-    Occurrences are reduced to distinct edges first, so a pattern or instance that is everywhere has few rows."""
-    edges = stage(places.select("p", "i").union(seeded.select("p", "i")).distinct(), "edges")
-    size = stage(edges.groupBy("p").agg(F.count("*").alias("n")), "sizes")
-    sure = stage(seeded.select("i", "k", F.lit(1.0).alias("v")).distinct(), "sure")
+                for text in frame["text"]:
+                    slots = Slots(text or "")
+                    n = np.arange(len(slots.h))
+                    for ps in slots.patterns(n, n):
+                        at = np.minimum(np.searchsorted(known, ps), len(known) - 1)
+                        np.add.at(count, np.where(known[at] == ps, at, len(known)), 1)
+            some = np.nonzero(count[:-1])[0]
+            yield pd.DataFrame({"p": known[some], "n": count[some]})
+
+        out = out.union(docs.select("text").mapInPandas(run, "p long, n long"))
+    return stage(out.groupBy("p").agg(F.sum("n").alias("n")), "occurrences")
+
+
+def good_patterns(found: DataFrame, size: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+    """(p, k, score) of the patterns that score MIN_SCORE or more for a kind, from the graph's occurrences (p, i, k) and
+    how often each pattern occurs in all (p, n). A pattern that is good for several kinds has a row for each.
+
+    Occurrences are reduced to counted edges first, so a pattern or instance that is everywhere has few rows."""
+    edges = stage(found.groupBy("p", "i").agg(F.count("*").alias("times")), "edges")
+    sure = stage(found.where("k >= 0").select("i", "k", F.lit(1.0).alias("v")).distinct(), "sure")
     known = sure
     for _ in range(rounds):
         known = stage(known, "known")
-        scored = edges.join(known, "i").groupBy("p", "k").agg(F.sum("v").alias("hits")).join(size, "p")
-        patterns = stage(scored.where(F.col("hits") >= MIN_SEEDS).select("p", "k", (F.col("hits") / (F.col("n") + 1)).alias("score")).where(F.col("score") >= MIN_SCORE), "patterns")
+        scored = edges.join(known, "i").groupBy("p", "k").agg(F.sum(F.col("v") * F.col("times")).alias("hits"), F.sum("v").alias("kinds")).join(size, "p")
+        score = F.col("hits") / (F.greatest("n", "hits") + 1)
+        patterns = stage(scored.where(F.col("kinds") >= MIN_SEEDS).select("p", "k", score.alias("score")).where(F.col("score") >= MIN_SCORE), "patterns")
         lifted = edges.join(patterns, "p").groupBy("i", "k").agg((1 - F.exp(F.sum(F.log(1 - F.col("score"))))).alias("v"))
         known = lifted.union(sure).groupBy("i", "k").agg(F.max("v").alias("v"))
     return patterns
@@ -217,10 +220,12 @@ def scan(docs: DataFrame) -> DataFrame:
     are not read."""
     texts = keyed(docs.select("doc_id", "text"))
     rows = extract(texts)
-    seeded = stage(rows.select(F.explode("found").alias("x")).select("x.*").distinct(), "seeds")
-    graph = stage(seeded.groupBy("p", "k").agg(F.count("*").alias("n")).where(F.col("n") >= GRAPH_SEEDS).select("p").distinct(), "graph")
-    places = occurrences(texts, graph)
-    patterns = good_patterns(seeded.join(graph, "p", "left_semi"), places)
+    found = rows.select(KEY, F.explode("found").alias("x")).select(KEY, "x.*")
+    seeded = F.count_distinct(F.when(F.col("k") >= 0, F.col("i")))
+    graph = stage(found.groupBy("p").agg(seeded.alias("n"), F.min("k").alias("least")).where((F.col("n") >= GRAPH_SEEDS) & (F.col("least") < 0)).select("p"), "graph")
+    places = stage(found.join(small(graph), "p", "left_semi"), "places")
+    patterns = good_patterns(places, occurrences(texts, graph))
+    places = places.where("k < 0").drop("k")
     best = F.max(F.struct("score", -F.col("k"))).alias("best")
     new = places.join(patterns, "p").groupBy(KEY, "s", "e").agg(best).select(KEY, F.struct("s", "e", (-F.col("best.col2")).alias("k")).alias("x"))
     new = new.groupBy(KEY).agg(F.sort_array(F.collect_list("x")).alias("x"))
