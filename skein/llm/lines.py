@@ -21,15 +21,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import KEY, keyed, small, stage, table
-from .lm import head_of
 from .shingles import U64, hash_words, mix, words_of
 
-PERCENT, HEAD, NEAREST, BLOCK_ROWS = 80, 100_000, 2, 50_000
+PERCENT, NEAREST, BLOCK_ROWS = 80, 2, 50_000
+#: log2 of the cells of the table of rarity classes (8 MB), and of the slices it is collected in.
+CELL_BITS, SLICE_BITS = 23, 5
 #: Characters of the texts that are cut at once, and distinct words that a counting task holds.
 CHARS, HELD = 500_000, 1_000_000
 #: Rows of token groups that are joined at once.
 BATCH_ROWS = 200_000
-_LOW = (1 << 62) - 1
 
 def need(a, b, percent: int):
     """The overlap that sets of a and b tokens need."""
@@ -73,33 +73,48 @@ def count_hashes(docs: DataFrame) -> DataFrame:
         count = np.bincount(at, weights=count, minlength=len(word)).astype(np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(count)], ["word", "c"])
 
-    return docs.select("text").mapInArrow(run, "word long, c long").groupBy("word").agg(F.sum("c").alias("c"))
+    # tasks have counted theirs: no second count before the shuffle
+    return docs.select("text").mapInArrow(run, "word long, c long").repartition("word").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-class Rarity:
-    """Word hashes as longs that sort by rarity: those outside the corpus's head as they are, then the head, rarest first."""
+def level(count):
+    """The rarity class of a count: eight to each doubling."""
+    return np.minimum(np.round(8 * np.log2(np.maximum(count, 1))), 255).astype(np.uint8)
 
-    def __init__(self, head: list[tuple[int, int]]) -> None:
-        word, count = np.array([w for w, _ in head], dtype=np.int64).view(U64), np.array([c for _, c in head], dtype=np.int64)
-        rank = np.empty(len(head), dtype=np.int64)
-        rank[np.lexsort((word, count))] = np.arange(len(head))
-        order = np.argsort(word)
-        self.word, self.key = word[order], rank[order] + (1 << 62)
 
-    def __call__(self, h: np.ndarray) -> np.ndarray:
-        h, of = np.unique(h, return_inverse=True)  # words that come in order are found fast
-        out = (h & U64(_LOW)).astype(np.int64)
-        if len(self.word):
-            at = np.minimum(np.searchsorted(self.word, h), len(self.word) - 1)
-            out = np.where(self.word[at] == h, self.key[at], out)
-        return out[of]
+def levels(words: DataFrame) -> np.ndarray:
+    """The rarity class of each cell of word hashes (their first CELL_BITS bits), from the sum of the cell's counts.
 
+    The table has the same size whatever the input; it is collected in slices. Words that share a cell look more
+    frequent than they are, which changes the order of tokens, the same for all lines, and no result."""
+    cells, n = 1 << CELL_BITS, 1 << (CELL_BITS - SLICE_BITS)
 
-def lines_of(docs: DataFrame, head, percent: int) -> DataFrame:
+    def run(batches, bits=CELL_BITS):
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            at, c = (batch.column(0).to_numpy().view(U64) >> U64(64 - bits)).astype(np.int64), batch.column(1).to_numpy()
+            for k in np.unique(at // n).tolist():
+                some = at // n == k
+                held.setdefault(k, np.zeros(n))
+                np.add.at(held[k], at[some] % n, c[some])
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(list(held), type=pa.int64()), pa.array([level(v).tobytes() for v in held.values()])], ["k", "levels"])
+
+    out = np.zeros(cells, dtype=np.uint8)
+    for r in words.select("word", "c").repartition(1 << SLICE_BITS, F.shiftrightunsigned("word", 64 - SLICE_BITS)).mapInArrow(run, "k long, levels binary").collect():
+        out[r["k"] * n : (r["k"] + 1) * n] = np.frombuffer(r["levels"], dtype=np.uint8)
+    return out
+
+
+def token(at: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Word hashes as longs that sort by rarity class, then by hash."""
+    return at.astype(np.int64) << 54 | (h >> U64(10)).astype(np.int64)
+
+
+def lines_of(docs: DataFrame, rarity, percent: int) -> DataFrame:
     """A row for each line with a word: its place, class, size, bitmap and prefix."""
 
-    def run(batches):
-        rarity = Rarity(head.value)
+    def run(batches, shift=64 - CELL_BITS):
         for batch in batches:
             texts = [t or "" for t in batch.column("text").to_pylist()]
             for lo, hi in pieces(texts):
@@ -107,7 +122,7 @@ def lines_of(docs: DataFrame, head, percent: int) -> DataFrame:
                 if not len(h):
                     continue
                 begin = np.cumsum([0] + [t.count("\n") + 1 for t in texts[lo:hi]])
-                key = rarity(h)
+                key = token(rarity.value[(h >> U64(shift)).astype(np.int64)], h)
                 order = np.argsort(key)
                 near = line[order].astype(np.uint16 if line[-1] < 1 << 16 else np.int64)
                 order = order[np.argsort(near, kind="stable")]
@@ -155,6 +170,8 @@ def candidates(rows: DataFrame, percent: int, most: int | None) -> DataFrame:
     are, wanted."""
 
     def pairs(rows: pa.Table):
+        order = np.lexsort([rows.column(c).to_numpy() for c in ("line_no", "at", "task", "token")])
+        rows = rows.take(pa.array(order))
         task, token = rows.column("task").to_numpy(), rows.column("token").to_numpy()
         run = np.concatenate([[True], (task[1:] != task[:-1]) | (token[1:] != token[:-1])])
         alone = run & np.append(run[1:], True)
@@ -192,9 +209,9 @@ def candidates(rows: DataFrame, percent: int, most: int | None) -> DataFrame:
             if size < BATCH_ROWS:
                 continue
             rows = pa.Table.from_batches(held)
-            task, token = rows.column("task").to_numpy(), rows.column("token").to_numpy()
-            # rows are sorted: the last group may go on in the next batch
-            cut = int(((task != task[-1]) | (token != token[-1])).sum())
+            token = rows.column("token").to_numpy()
+            # rows are sorted by token: the last group may go on in the next batch
+            cut = int(np.searchsorted(token, token[-1]))
             if cut:
                 yield from pairs(rows.slice(0, cut))
             # a group that goes on is looked at again when it has doubled
@@ -203,8 +220,8 @@ def candidates(rows: DataFrame, percent: int, most: int | None) -> DataFrame:
         if held:
             yield from pairs(pa.Table.from_batches(held))
 
-    # tokens differ soonest, so they come first in the order
-    held = rows.repartition("task", "token").sortWithinPartitions("token", "task", "at", "line_no")
+    # sorted by one number, which needs no comparisons of rows; the rest of the order is made batch by batch
+    held = rows.repartition("task", "token").sortWithinPartitions("token")
     found = held.mapInArrow(run, "x long, xl int, y long, yl int, more boolean")
     return found.groupBy("x", "xl", "y", "yl").agg(F.max("more").alias("more"))
 
@@ -213,7 +230,8 @@ def verified(pairs: DataFrame, docs: DataFrame, ranks: DataFrame, percent: int)
     """(x, xl, same, more) of the pairs' places x, xl: whether a pair's words have the Jaccard similarity."""
     places = pairs.select(F.col("x").alias("at"), F.col("xl").alias("line_no")).union(pairs.select("y", "yl")).distinct()
     places = small(stage(places.join(small(ranks), "at"), "places"))
-    texts = docs.select(KEY, F.posexplode(F.split("text", "\n")).alias("line_no", "line")).join(places, [KEY, "line_no"])
+    some = docs.join(small(stage(places.select(KEY).distinct(), "texts")), KEY, "left_semi")
+    texts = some.select(KEY, F.posexplode(F.split("text", "\n")).alias("line_no", "line")).join(places, [KEY, "line_no"])
     texts = stage(texts.select("at", "line_no", "line"), "texts")
 
     def run(frames):
@@ -244,18 +262,16 @@ def find(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]
     lines without words, null and empty texts have none and nothing goes from them. Repeated rows repeat each other's
     lines, so all but the first lose theirs. Other columns are not read."""
     rows = keyed(docs.select("doc_id", "text"))
-    words = stage(count_hashes(rows), "words")
-    top, least = head_of(words, HEAD)
-    top = [(r["word"], r["c"]) for r in top]
-    lines = stage(lines_of(rows, docs.sparkSession.sparkContext.broadcast(top), percent), "lines")
+    rarity = levels(stage(count_hashes(rows), "words"))
+    lines = stage(lines_of(rows, docs.sparkSession.sparkContext.broadcast(rarity), percent), "lines")
     firsts = lines.withColumn("none", F.col("doc_id").isNull()).groupBy("class", "n", "b1", "b2").agg(F.min(F.struct(*PLACE, "prefix")).alias("f"))
     classes = stage(firsts.select("f.*", "n", "b1", "b2"), "classes")
     ranks = ranked(rows)
     size = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("pos").cast("long")).alias("size")
     held = classes.join(small(ranks), KEY)
     spread = held.select("at", "line_no", "n", "b1", "b2", F.posexplode("prefix").alias("pos", "token")).select("token", "at", "line_no", size, "b1", "b2")
-    # a token in so many prefixes occurs as often in the corpus: only such words of the head are counted
-    seldom = (1 << 62) + sum(c <= BLOCK_ROWS for _, c in top) if least <= BLOCK_ROWS else 0
+    # a token in so many prefixes occurs as often in the corpus: only tokens of such a rarity class are counted
+    seldom = int(level(BLOCK_ROWS)) << 54
     large = stage(spread.where(F.col("token") >= seldom).groupBy("token").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks")).where("blocks > 1"), "large")
     spread = spread.join(small(large), "token", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     block = F.pmod(F.xxhash64("at", "line_no"), F.col("blocks")).cast("int")

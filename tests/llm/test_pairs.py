@@ -118,7 +118,7 @@ def plain_lines(rows):
     return out
 
 
-@pytest.mark.parametrize("change", [{}, {"NEAREST": 1, "BLOCK_ROWS": 3, "HEAD": 5, "BATCH_ROWS": 7, "CHARS": 50}])
+@pytest.mark.parametrize("change", [{}, {"NEAREST": 1, "BLOCK_ROWS": 3, "CELL_BITS": 7, "BATCH_ROWS": 7, "CHARS": 50}])
 def test_lines(docs, rows, empty, monkeypatch, change):
     for k, v in change.items():
         monkeypatch.setattr(lines, k, v)
