@@ -27,7 +27,7 @@ PERCENT, NEAREST, BLOCK_ROWS = 80, 2, 50_000
 #: log2 of the cells of the table of rarity classes (8 MB), and of the slices it is collected in.
 CELL_BITS, SLICE_BITS = 23, 5
 #: Characters of the texts that are cut at once, and distinct words that a counting task holds.
-CHARS, HELD = 500_000, 1_000_000
+CHARS, HELD = 150_000, 2_000_000
 #: Rows of token groups that are joined at once.
 BATCH_ROWS = 200_000
 
@@ -57,21 +57,29 @@ def count_hashes(docs: DataFrame) -> DataFrame:
     """(word, c): occurrences of each word's hash in all texts. Task-wise counts are handed on as they fill."""
 
     def run(batches):
-        word, count = np.zeros(0, dtype=U64), np.zeros(0, dtype=np.int64)
+        words, counts, held = [], [], 0
+
+        def merged() -> tuple[np.ndarray, np.ndarray]:
+            word, at = np.unique(np.concatenate([np.zeros(0, dtype=U64), *words]), return_inverse=True)
+            return word, np.bincount(at, weights=np.concatenate([np.zeros(0, dtype=np.int64), *counts]), minlength=len(word)).astype(np.int64)
+
+        def out(word: np.ndarray, count: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(count)], ["word", "c"])
+
         for batch in batches:
             texts = [t or "" for t in batch.column(0).to_pylist()]
             for lo, hi in pieces(texts):
                 w, c = np.unique(hashes(texts[lo:hi])[0], return_counts=True)
-                word, count = np.concatenate([word, w]), np.concatenate([count, c])
-            if len(word) > HELD:
-                word, at = np.unique(word, return_inverse=True)
-                count = np.bincount(at, weights=count, minlength=len(word)).astype(np.int64)
-                if len(word) > HELD // 2:
-                    yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(count)], ["word", "c"])
-                    word, count = word[:0], count[:0]
-        word, at = np.unique(word, return_inverse=True)
-        count = np.bincount(at, weights=count, minlength=len(word)).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(count)], ["word", "c"])
+                words.append(w)
+                counts.append(c)
+                held += len(w)
+                if held > HELD:
+                    word, count = merged()
+                    words, counts, held = [word], [count], len(word)
+                    if held > HELD // 2:
+                        yield out(word, count)
+                        words, counts, held = [], [], 0
+        yield out(*merged())
 
     # tasks have counted theirs: no second count before the shuffle
     return docs.select("text").mapInArrow(run, "word long, c long").repartition("word").groupBy("word").agg(F.sum("c").alias("c"))
@@ -263,9 +271,9 @@ def find(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]
     lines, so all but the first lose theirs. Other columns are not read."""
     rows = keyed(docs.select("doc_id", "text"))
     rarity = levels(stage(count_hashes(rows), "words"))
-    lines = stage(lines_of(rows, docs.sparkSession.sparkContext.broadcast(rarity), percent), "lines")
+    lines = stage(lines_of(rows, docs.sparkSession.sparkContext.broadcast(rarity), percent), "lines", "snappy")
     firsts = lines.withColumn("none", F.col("doc_id").isNull()).groupBy("class", "n", "b1", "b2").agg(F.min(F.struct(*PLACE, "prefix")).alias("f"))
-    classes = stage(firsts.select("f.*", "n", "b1", "b2"), "classes")
+    classes = stage(firsts.select("f.*", "n", "b1", "b2"), "classes", "snappy")
     ranks = ranked(rows)
     size = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("pos").cast("long")).alias("size")
     held = classes.join(small(ranks), KEY)

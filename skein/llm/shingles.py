@@ -26,11 +26,11 @@ def words_of(text: str | None) -> list[bytes]:
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[list(b" \t\n\r\x0b\x0c")] = True
 #: Bytes of a block, a random value for each byte, and the powers of an odd number and of its inverse.
-_BLOCK = 1 << 17
+_BLOCK = 1 << 15
 _BYTE = np.random.default_rng(5).integers(0, 1 << 64, 256, dtype=U64)
 _BASE, _FULL = 0x9E3779B97F4A7C17, 1 << 64
 #: Bytes of the texts that are hashed at once.
-BYTES = 500_000
+BYTES = 200_000
 
 
 def _powers(x: int) -> np.ndarray:

@@ -27,10 +27,10 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/skein-{label}-{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame, label: str) -> DataFrame:
+def stage(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it back.
 
     It cuts the lineage: what follows survives the loss of any executor and never computes df again."""
     path = fresh_path(df.sparkSession, label)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", codec).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
