@@ -27,7 +27,7 @@ PERCENT, NEAREST, BLOCK_ROWS = 80, 2, 50_000
 #: log2 of the cells of the table of rarity classes (8 MB), and of the slices it is collected in.
 CELL_BITS, SLICE_BITS = 23, 5
 #: Characters of the texts that are cut at once, and distinct words that a counting task holds.
-CHARS, HELD = 150_000, 2_000_000
+CHARS, HELD = 150_000, 1_000_000
 #: Rows of token groups that are joined at once.
 BATCH_ROWS = 200_000
 
@@ -264,7 +264,7 @@ def ranked(rows: DataFrame) -> DataFrame:
 
 
 def find(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
-    """(rows with their key, lines (row key, doc_id, line_no, gone)) of docs.
+    """(rows with their key, (row key, n, gone): lines with words of each row that has any, and numbers of those that go).
 
     Order is by doc_id (nulls last), then row, then line. Tokens are words between ASCII white space, A-Z lower-cased;
     lines without words, null and empty texts have none and nothing goes from them. Repeated rows repeat each other's
@@ -295,25 +295,28 @@ def find(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]
     rest = rest.select("task", "token", "at", "line_no", "size", "b1", "b2", F.coalesce("w", F.lit(False)).alias("wanted"))
     second = verified(stage(candidates(rest, percent, None), "all"), rows, ranks, percent)
     gone = stage(first.where("same").select(*place).union(second.where("same").select(*place)).distinct().join(small(ranks), "at").select(KEY, "line_no"), "matched")
-    lead = classes.select(KEY, "line_no").join(gone, [KEY, "line_no"], "left_anti").withColumn("leads", F.lit(True))
-    return rows, lines.select(KEY, "doc_id", "line_no").join(lead, [KEY, "line_no"], "left").withColumn("gone", F.col("leads").isNull())
+    lead = classes.select(KEY, "line_no").join(gone, [KEY, "line_no"], "left_anti")
+    marks = lines.select(KEY, "line_no", F.lit(False).alias("leads")).union(lead.select(KEY, "line_no", F.lit(True)))
+    all_, kept = (F.collect_list(F.when(x, F.col("line_no"))) for x in (~F.col("leads"), F.col("leads")))
+    return rows, marks.groupBy(KEY).agg(all_.alias("all"), kept.alias("kept")).select(KEY, F.size("all").cast("long").alias("n"), F.sort_array(F.array_except("all", "kept")).alias("gone"))
 
 
 def report(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_lines (with words), n_removed and removed_lines (numbers from 0, comma-joined) of each row."""
-    rows, lines = find(docs, percent)
-    by = lines.groupBy(KEY).agg(F.count("*").alias("n"), F.sum(F.col("gone").cast("long")).alias("r"), F.array_join(F.sort_array(F.collect_list(F.when(F.col("gone"), F.col("line_no")))), ",").alias("l"))
+    rows, by = find(docs, percent)
     out = rows.select(KEY, "doc_id").join(by, KEY, "left")
-    return out.select("doc_id", F.coalesce("n", F.lit(0)).alias("n_lines"), F.coalesce("r", F.lit(0)).alias("n_removed"), F.coalesce("l", F.lit("")).alias("removed_lines"))
+    removed = F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long")
+    return out.select("doc_id", F.coalesce("n", F.lit(0)).alias("n_lines"), removed.alias("n_removed"), F.coalesce(F.array_join("gone", ","), F.lit("")).alias("removed_lines"))
 
 
 def clean(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(doc_id, text) with the matched lines taken out; a null text stays null."""
-    rows, lines = find(docs, percent)
-    gone = lines.where("gone").groupBy(KEY).agg(F.collect_set("line_no").alias("l"))
+    rows, by = find(docs, percent)
+    gone = by.where(F.size("gone") > 0).select(KEY, F.col("gone").alias("l"))
     kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("l", i)), "\n")
     return rows.join(gone, KEY, "left").select("doc_id", F.when(F.col("l").isNull(), F.col("text")).otherwise(kept).alias("text"))
 
 
 def op5_line_dedup(spark, sf_dir: str) -> DataFrame:
+    """report() over all documents; null and empty texts have no lines."""
     return report(table(spark, sf_dir, "documents"))
