@@ -94,3 +94,8 @@ REGIONS = {
     "chart": ("statistical", "survival", "clinical outcome", "treatment comparison"),
     "clinical": ("skin", "wound", "extremity", "face", "oral", "eye", "ear", "neck"),
 }
+# What is done to a picture of each kind.
+PREPARATION = {
+    "xray": ("enhance_contrast", "denoise", "normalize", "clahe"), "ct": ("denoise", "normalize", "clahe"), "mri": ("denoise", "normalize"),
+    "ultrasound": ("enhance_contrast", "denoise", "normalize"), "pathology": ("enhance_contrast",), "chart": (), "clinical": ("enhance_contrast",),
+}

@@ -82,6 +82,14 @@ def chunk(docs: DataFrame, child: tuple[int, int] = (512, 64), parent: tuple[int
     return children, parents
 
 
+def markdown(header: Column, cells: Column) -> Column:
+    """A pipe table of array<string> and array<array<string>>; a table without rows is blank, a null cell empty."""
+    row = lambda r: F.concat(F.lit("| "), F.array_join(r, " | ", ""), F.lit(" |"))
+    rule = F.transform(header, lambda _: F.lit("---"))
+    lines = F.concat(F.array(row(header), row(rule)), F.transform(cells, row))
+    return F.when(F.size(cells) > 0, F.array_join(lines, "\n")).otherwise("")
+
+
 def table_chunks(tables: DataFrame) -> DataFrame:
     """Chunks of tables (document_id, page, table_index, markdown)."""
     text = F.concat(F.lit("[TABLE from page "), F.col("page").cast("string"), F.lit("]\n"), F.col("markdown"))

@@ -76,10 +76,20 @@ def inject_markers(answers: DataFrame, hits: DataFrame) -> DataFrame:
     return d.select("qid", fold("answer", "phrases").alias("marked"))
 
 
-def enrich(cited: DataFrame, hits: DataFrame, columns=("rerank_score", "chunk_type")) -> DataFrame:
-    """cited with columns of its hits, by (qid, chunk_id); a hit that is missing leaves nulls."""
-    extra = [c for c in columns if c in hits.columns]
-    return cited.drop(*extra).join(hits.select("qid", "chunk_id", *extra).dropDuplicates(["qid", "chunk_id"]), ["qid", "chunk_id"], "left")
+SOURCE = ("citation_number", "chunk_id", "document_id", "filename", "page", "section", "score", "rerank_score", "text_preview", "chunk_type", "is_image_chunk", "modality", "caption")
+
+
+def sources(cited: DataFrame) -> DataFrame:
+    """(qid, sources): each question's few citations with what their chunks say of themselves; what is missing is null."""
+    one = F.struct(*[F.col(c) if c in cited.columns else F.lit(None).cast("string").alias(c) for c in SOURCE])
+    return cited.groupBy("qid").agg(F.sort_array(F.collect_list(one)).alias("sources"))
+
+
+def kinds(hits: DataFrame) -> DataFrame:
+    """(qid, n_hits, text_hits, table_hits, image_hits)."""
+    image = F.coalesce(F.col("is_image_chunk"), F.lit(False)) if "is_image_chunk" in hits.columns else F.lit(False)
+    table = (F.coalesce(F.col("chunk_type"), F.lit("text")) == "table") & ~image
+    return hits.groupBy("qid").agg(F.count("*").alias("n_hits"), F.count_if(~image & ~table).alias("text_hits"), F.count_if(table).alias("table_hits"), F.count_if(image).alias("image_hits"))
 
 
 def strategy(n_variants: Column, hyde: Column, parents: bool, compression: bool, reranked: bool, multi_query: bool = True) -> Column:

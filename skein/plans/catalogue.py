@@ -344,6 +344,31 @@ def image_report(spark, d):
     return g.select("conv_id", r["overall_severity"].alias("severity"), r["overall_confidence"].alias("confidence"), r["findings_summary"].alias("summary"), r["impression"].alias("impression"))
 
 
+def table_chunks(spark, d):
+    """Each region's nations are a table."""
+    from ..operators import chunking
+
+    n = t(spark, d, "nation").select(F.col("n_regionkey").alias("document_id"), F.struct("n_nationkey", F.array(F.col("n_nationkey").cast("string"), "n_name").alias("r")).alias("x"))
+    made = n.groupBy("document_id").agg(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["r"]).alias("cells"))
+    tables = made.select("document_id", (F.col("document_id") + 1).alias("page"), F.lit(0).alias("table_index"), chunking.markdown(F.array(F.lit("key"), F.lit("name")), F.col("cells")).alias("markdown"))
+    return chunking.table_chunks(tables).select("document_id", "chunk_id", "section", "chunk_type", "text")
+
+
+def image_pixels(spark, d):
+    """A vector's first 63 parts are the values of 21 coloured pixels."""
+    from ..operators import imaging
+
+    part = lambda x: (F.floor(F.abs(x.cast("double")) * 1000).cast("long") % 256).cast("int")
+    data = F.unhex(F.array_join(F.transform(F.slice("embedding", 1, 63), lambda x: F.lpad(F.hex(part(x)), 2, "0")), ""))
+    c = t(spark, d, "embeddings").select("vec_id", imaging.colours(data, F.lit(7), F.lit(3), F.lit(3)).alias("c"))
+    return c.select("vec_id", F.round("c.grey", 6).alias("grey"), F.round("c.saturation", 6).alias("saturation"), F.round("c.mean", 4).alias("mean"))
+
+
+def retrieval_strategy(spark, d):
+    b = t(spark, d, "benchmark").select("item_id", variants.parse_variants(F.col("text"), F.regexp_replace("text", r"\. ", ".\n"), 3).alias("v"))
+    return b.select("item_id", citations.strategy(F.size("v"), F.col("item_id") % 2 == 0, True, False, True).alias("strategy"))
+
+
 def chunk_two_level(spark, d):
     from ..operators import chunking
 
@@ -365,7 +390,7 @@ def stream_ingest(spark, d):
     return stream_once(spark, d)
 
 
-QUERIES = {f.__name__: f for f in (tokenize_counts, bm25_fit, bm25_encode, bm25_fallback, incremental_vocab, sparse_topk, dense_topk, dense_topk_filtered, filter_predicate, rrf_fusion, hybrid_retrieve, compress_context, final_limit, parent_expand, query_variants_parse, medical_score, rerank_fused, confidence_scores, context_validation, extract_claims, verify_claims, unsupported_claims, evidence, calibrated, citation_list, citation_block, context_block, key_phrases, inject_markers, dedup_checksum, clean_text, file_names, doc_type, doc_year, stats_by_type, chunk_types, section_carry, section_split, image_modality, image_report, chunk_two_level, stream_ingest)}
+QUERIES = {f.__name__: f for f in (tokenize_counts, bm25_fit, bm25_encode, bm25_fallback, incremental_vocab, sparse_topk, dense_topk, dense_topk_filtered, filter_predicate, rrf_fusion, hybrid_retrieve, compress_context, final_limit, parent_expand, query_variants_parse, medical_score, rerank_fused, confidence_scores, context_validation, extract_claims, verify_claims, unsupported_claims, evidence, calibrated, citation_list, citation_block, context_block, key_phrases, inject_markers, dedup_checksum, clean_text, file_names, doc_type, doc_year, stats_by_type, chunk_types, section_carry, section_split, image_modality, image_report, chunk_two_level, stream_ingest, table_chunks, image_pixels, retrieval_strategy)}
 
 _WS = "[\\s\\x1c-\\x1f\\x85\\p{Z}]"
 _DOM = f"""round(least(greatest(least({hits_sql('lower(d.text)', PRIORITY)} * 0.03::DOUBLE, 0.15) + CASE WHEN source IN ('src1', 'src2', 'src3') THEN 0.05::DOUBLE ELSE 0 END + CASE WHEN lang IN ('en', 'fr') THEN 0.05::DOUBLE ELSE 0 END + least(len(d.text) / 1000.0::DOUBLE, 1) * 0.03::DOUBLE + len(list_intersect({terms_sql('b.text')}, {terms_sql('d.text')}))::DOUBLE / greatest(len({terms_sql('b.text')}), 1) * 0.1::DOUBLE - {hits_sql('lower(d.text)', NEGATIVE)} * 0.05::DOUBLE, 0), 0.3), 6)"""
@@ -411,4 +436,7 @@ ORACLE_SQL: dict[str, str] = {
     "section_carry": "WITH l AS (SELECT doc_id document_id, unnest(range(len(string_split(text, chr(10))))) pos, unnest(string_split(text, chr(10))) line FROM documents), g AS (SELECT *, " + "CASE " + " ".join(f"WHEN starts_with(lower(line), {q(p)}) THEN {q(p)}" for p in LINES) + " END det FROM l) SELECT document_id, pos, coalesce(last_value(det IGNORE NULLS) OVER (PARTITION BY document_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 'general') section FROM g",
     "image_modality": f"WITH s AS (SELECT doc_id, [{hits_sql('lower(text)', ('the', 'ing '))}, {hits_sql('lower(text)', ('und', 'der '))}, {hits_sql('lower(text)', ('que', 'les '))}] l FROM documents) SELECT doc_id, CASE WHEN list_max(l) > 0 THEN {_MODAL} ELSE 'clinical' END modality FROM s",
     "image_report": "WITH f AS (SELECT conv_id, turn, turn % 4 = 0 iq, left(text, 20) d, (turn % 10) / 10.0::DOUBLE c, turn % 5 s FROM conversations), g AS (SELECT conv_id, CASE WHEN bool_or(s = 4) THEN 'critical' WHEN bool_or(s = 3) THEN 'high' WHEN bool_or(s = 2) THEN 'moderate' ELSE 'low' END severity, round(avg(c), 3) confidence, list(d ORDER BY turn) FILTER (NOT iq) l FROM f GROUP BY 1) SELECT conv_id, severity, confidence, coalesce(nullif(array_to_string(list_slice(l, 1, 3), ' | '), ''), 'No findings.') summary, CASE WHEN l IS NULL THEN 'CT image — no significant automated findings.' ELSE 'CT demonstrates:' || array_to_string(list_transform(list_slice(l, 1, 5), lambda x: chr(10) || '- ' || x), '') END || chr(10) || 'Note: Automated analysis only. Clinical correlation required.' impression FROM g",
+    "table_chunks": "SELECT n_regionkey document_id, sha256(concat_ws('|', n_regionkey, 'table', n_regionkey + 1, 0)) chunk_id, 'table' AS section, 'table' chunk_type, '[TABLE from page ' || (n_regionkey + 1) || ']' || chr(10) || '| key | name |' || chr(10) || '| --- | --- |' || chr(10) || string_agg('| ' || n_nationkey || ' | ' || n_name || ' |', chr(10) ORDER BY n_nationkey) AS text FROM nation GROUP BY n_regionkey",
+    "image_pixels": "WITH v AS (SELECT vec_id, list_transform(list_slice(embedding, 1, 63), lambda x: floor(abs(x::DOUBLE) * 1000)::BIGINT % 256) p FROM embeddings), x AS (SELECT vec_id, unnest(range(21)) i, p FROM v), c AS (SELECT vec_id, p[3 * i + 1] r, p[3 * i + 2] g, p[3 * i + 3] b FROM x) SELECT vec_id, round(avg((abs(r - g) + abs(g - b) < 10)::INT), 6) grey, round(avg((greatest(r, g, b) - least(r, g, b))::DOUBLE / greatest(r, g, b, 1)), 6) saturation, round(avg((299 * r + 587 * g + 114 * b + 500) // 1000), 4) mean FROM c GROUP BY vec_id",
+    "retrieval_strategy": f"WITH l AS (SELECT item_id, len(list_filter(list_transform(string_split(regexp_replace(text, '\\. ', '.' || chr(10), 'g'), chr(10)), lambda x: regexp_replace(x, '^{_WS}+|{_WS}+$', '', 'g')), lambda x: len(x) > 10)) n FROM benchmark) SELECT item_id, 'Query Enhancement → Embedding → Hybrid Retrieval (dense+sparse, text+table+image) → Multi-Query(' || (1 + least(n, 3)) || ')' || CASE WHEN item_id % 2 = 0 THEN ' → HyDE' ELSE '' END || ' → Parent Retrieval → Reranker(BGE+CrossEncoder+Medical) → Context Validation → Prompt Builder → LLM' strategy FROM l",
 }

@@ -56,5 +56,69 @@ def overlap_score(query: Column, text: Column) -> Column:
     return F.coalesce(share(terms(text), terms(query)), F.lit(0.0))
 
 
-def available(*models) -> dict[str, bool]:
-    return {type(m).__name__: m is not None for m in models}
+def available(**models) -> dict[str, bool]:
+    return {name: m is not None for name, m in models.items()}
+
+
+class Generator(Protocol):
+    """A language model."""
+
+    def load(self) -> Callable[[list[str]], list[str | None]]:
+        """Called once in each worker; gives a function from prompts to texts, null where the model failed."""
+
+
+class PairScorer(Protocol):
+    """A reranking model: relevance of texts to questions, 0 to 1."""
+
+    def load(self) -> Callable[[list[str], list[str]], list[float]]: ...
+
+
+class DocumentReader(Protocol):
+    """A reader of PDF files."""
+
+    def load(self) -> Callable[[bytes], list[dict]]:
+        """Called once in each worker; gives a function from a file to its pages.
+
+        A page is {text, words: [(x0, x1, y0, text)], images: [{data, n_bytes, width, height, channels, box: (x0, x1, y1)}],
+        tables: [{header, rows}]}; all but text may be missing. An image's data are raw pixels."""
+
+
+class Ocr(Protocol):
+    def load(self) -> Callable[[np.ndarray], str]:
+        """Called once in each worker; gives a function from an image to the text in it."""
+
+
+class VisionModel(Protocol):
+    def load(self) -> Callable[[bytes, str, str], str | None]:
+        """Called once in each worker; gives a function from a PNG file, its modality and its context to JSON findings."""
+
+
+def generate(prompt: Column, model: Generator) -> Column:
+    """The model's text for each prompt; null for a null prompt and where the model raises, so one batch that fails
+    costs no other."""
+
+    @F.pandas_udf("string")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        f = model.load()
+        for b in batches:
+            asked = b[b.notna()]
+            try:
+                said = list(f(asked.tolist())) if len(asked) else []
+            except Exception:  # whatever a model's client raises
+                said = [None] * len(asked)
+            yield pd.Series(said, index=asked.index, dtype=object).reindex(b.index).where(lambda x: x.notna(), None)
+
+    return run(prompt)
+
+
+def pair_score(question: Column, text: Column, model: PairScorer) -> Column:
+    @F.pandas_udf("double")
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        f = model.load()
+        for qs, ts in batches:
+            try:
+                yield pd.Series(f(qs.fillna("").tolist(), ts.fillna("").tolist()), index=qs.index, dtype="float64")
+            except Exception:  # a reranker that fails gives no score; the next stage goes on without it
+                yield pd.Series([None] * len(qs), index=qs.index, dtype="float64")
+
+    return run(question, text)

@@ -1,4 +1,4 @@
-"""Chunks, parents and the catalogue as Parquet tables in one folder."""
+"""Chunks, parents, the catalogue and prepared pictures as Parquet tables in one folder."""
 
 from __future__ import annotations
 
@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..errors import StorageError
 
-TABLES = ("chunks", "parents", "catalogue")
+TABLES = ("chunks", "parents", "catalogue", "pictures")
 
 
 class Store:
@@ -56,13 +56,23 @@ class Store:
         return True
 
     def delete_document(self, document_id) -> None:
-        for table in ("chunks", "parents"):
+        for table in ("chunks", "parents", "pictures"):
             self.delete(table, "document_id", document_id)
 
     def get(self, table: str, key: str, value) -> DataFrame | None:
         old = self.read(table)
         return None if old is None else old.where(F.col(key) == value)
 
+    def create(self, table: str, schema: str) -> None:
+        """An empty table, unless there is one."""
+        if self.read(table) is None:
+            self._write(table, self.spark.createDataFrame([], schema))
+
+    def info(self, table: str) -> dict:
+        """Name, number of rows and whether the table is there."""
+        there = self.read(table)
+        return {"name": table, "rows": 0 if there is None else there.count(), "status": "absent" if there is None else "ready"}
+
     def tables(self) -> list[str]:
         return [t for t in TABLES if self.read(t) is not None]
 
