@@ -99,7 +99,7 @@ def test_sections(spark):
 
 
 def test_splitter_invariants():
-    text = "\n\n".join(" ".join(f"w{i}x{j}." for j in range(i % 37 + 1)) for i in range(60)) + "y" * 700
+    text = "\n\n".join(" ".join(f"w{i}x{j}." for j in range(i % 37 + 1)) for i in range(60)) + "".join(f"{i:05d}" for i in range(140))
     for size, overlap in ((512, 64), (100, 10), (2048, 128)):
         pieces = chunking.split_text(text, size, overlap)
         assert max(map(len, pieces)) <= size
