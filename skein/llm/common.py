@@ -13,6 +13,8 @@ __all__ = ["fresh_path", "stage"]
 
 #: Rows up to which a two- or three-column key table is broadcast; larger ones are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
+#: Bytes up to which a table with strings is broadcast.
+BROADCAST_BYTES = 48 << 20
 KEY, FILE, ROW = "__row_key", "__file", "__row"
 
 
@@ -52,6 +54,14 @@ def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
+def light(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """A broadcast hint for a staged table whose rows, strings and all, take at most `limit` bytes; a larger one stays
+    as it is, for a shuffled join."""
+    strings = [F.coalesce(F.octet_length(f.name), F.lit(0)) for f in df.schema if isinstance(f.dataType, T.StringType)]
+    row = sum((s.cast("long") for s in strings), F.lit(16 * len(df.columns)).cast("long"))
+    return F.broadcast(df) if (df.agg(F.sum(row)).first()[0] or 0) <= limit else df
+
+
 def clashing(df: DataFrame, *names: str) -> DataFrame:
     """df without extra columns named like what an operator adds."""
     return df.drop(*[c for c in df.columns if c in names])

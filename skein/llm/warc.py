@@ -2,8 +2,9 @@
 
 Payload digests are computed where the rows are; only headers (digest and page) are shuffled, and only digests that
 occur more than once are joined back to the pages. Archives are written by Spark's text writer, with the two CRLF that
-end each record as its line separator, so any file system and the usual commit of tasks serve. They are read back as a
-stream of pieces in file order, cut by Content-Length; revisits are then joined to the responses they refer to.
+end each record as its line separator, so any file system and the usual commit of tasks serve; each file begins with a
+warcinfo record. They are read back as a stream of pieces in file order, cut by Content-Length; revisits are then joined
+to the responses they refer to.
 """
 
 from __future__ import annotations
@@ -11,16 +12,18 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+from datetime import UTC, datetime
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import KEY, fresh_path, keyed, small, stage, table
+from .common import KEY, fresh_path, keyed, light, stage, table
 
 END = "\r\n\r\n"
 MIN_BYTES = 0
 _BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+SPECIFICATION = "http://iipc.github.io/warc-specifications/specifications/warc-format/warc-1.1/"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -33,44 +36,54 @@ def base32_sha1(payload: Column) -> Column:
 
 
 def resolve(pages: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
-    """pages (with a row key) with payload, payload_digest, payload_bytes, refers_to and first (the response's row key).
+    """pages (with a row key) with payload, payload_digest, payload_bytes, refers_to, first (the response's row key) and
+    first_url.
 
     Of equal payloads of min_bytes or more, the row with the smallest page_id answers, null ids last and one of the
     rows that repeat."""
     body = F.coalesce(F.col("html"), F.lit(""))
     rows = pages.select(KEY, "page_id", "url", body.alias("payload"))
     rows = rows.withColumns({"payload_digest": base32_sha1(F.col("payload").cast("binary")), "payload_bytes": F.octet_length("payload").cast("long")})
-    heads = rows.where(F.col("payload_bytes") >= min_bytes).groupBy("payload_digest").agg(F.count("*").alias("n"), F.min(F.struct(F.col("page_id").isNull().alias("none"), "page_id", KEY)).alias("first"))
-    again = stage(heads.where("n > 1").select("payload_digest", F.col("first.page_id").alias("first_page"), F.col(f"first.{KEY}").alias("first")), "again")
-    out = rows.join(small(again), "payload_digest", "left")
+    heads = rows.where(F.col("payload_bytes") >= min_bytes).groupBy("payload_digest").agg(F.count("*").alias("n"), F.min(F.struct(F.col("page_id").isNull().alias("none"), "page_id", KEY, "url")).alias("first"))
+    again = stage(heads.where("n > 1").select("payload_digest", F.col("first.page_id").alias("first_page"), F.col(f"first.{KEY}").alias("first"), F.col("first.url").alias("first_url")), "again")
+    out = rows.join(light(again), "payload_digest", "left")
     revisit = F.coalesce((F.col("first") != F.col(KEY)) & (F.col("payload_bytes") >= min_bytes), F.lit(False))
     return out.withColumn("record_type", F.when(revisit, "revisit").otherwise("response")).withColumn("refers_to", F.when(revisit, F.col("first_page"))).withColumn("first", F.when(revisit, F.col("first")))
 
 
+def _uri(url: Column) -> Column:
+    return F.regexp_replace(F.coalesce(url, F.lit("urn:none")), "[\\x00-\\x20\\x7f]+", "%20")
+
+
 def _uuid(key: Column) -> Column:
     h = F.concat(F.lpad(F.lower(F.hex(key)), 16, "0"), F.lpad(F.lower(F.hex(F.xxhash64(F.lit("record"), key))), 16, "0"))
     return F.concat(F.lit("<urn:uuid:"), *[x for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12)) for x in (F.substring(h, a, n), F.lit("-" if a < 21 else ">"))])
 
 
 def records(resolved: DataFrame, date: str) -> DataFrame:
-    """(value): each record without the two CRLF behind it."""
+    """(value): each record without the two CRLF behind it; the first of a partition has a warcinfo record before it."""
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("payload_bytes").cast("string"), F.lit(END))
     is_new = F.col("record_type") == "response"
     block = F.when(is_new, F.concat(http, F.col("payload"))).otherwise(http)
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
-    clean = F.regexp_replace(F.coalesce(F.col("url"), F.lit("urn:none")), "[\\x00-\\x20\\x7f]+", "%20")
     head = F.concat(
-        F.lit("WARC/1.1\r\n"), line("WARC-Type", F.col("record_type")), line("WARC-Record-ID", _uuid(F.col(KEY))), line("WARC-Date", F.lit(date)), line("WARC-Target-URI", clean),
+        F.lit("WARC/1.1\r\n"), line("WARC-Type", F.col("record_type")), line("WARC-Record-ID", _uuid(F.col(KEY))), line("WARC-Date", F.lit(date)), line("WARC-Target-URI", _uri(F.col("url"))),
         line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("payload_digest"))), line("X-Page-ID", F.coalesce(F.col("page_id").cast("string"), F.lit(""))),
-        F.when(is_new, "").otherwise(F.concat(line("WARC-Profile", F.lit(PROFILE)), line("WARC-Refers-To", _uuid(F.col("first"))), line("X-Refers-To-Page", F.coalesce(F.col("refers_to").cast("string"), F.lit(""))))),
+        F.when(is_new, "").otherwise(F.concat(line("WARC-Profile", F.lit(PROFILE)), line("WARC-Refers-To", _uuid(F.col("first"))), line("WARC-Refers-To-Target-URI", _uri(F.col("first_url"))), line("WARC-Refers-To-Date", F.lit(date)), line("X-Refers-To-Page", F.coalesce(F.col("refers_to").cast("string"), F.lit(""))))),
         F.lit("Content-Type: application/http; msgtype=response\r\nContent-Length: "), F.octet_length(block).cast("string"), F.lit(END),
     )
-    return resolved.select(F.concat(head, block).alias("value"))
+    about = f"software: skein\r\nformat: WARC File Format 1.1\r\nconformsTo: {SPECIFICATION}\r\n"
+    info = F.concat(
+        F.lit("WARC/1.1\r\n"), line("WARC-Type", F.lit("warcinfo")), line("WARC-Record-ID", _uuid(F.xxhash64(F.lit("warcinfo"), KEY))), line("WARC-Date", F.lit(date)),
+        F.lit(f"Content-Type: application/warc-fields\r\nContent-Length: {len(about)}{END}{about}{END}"),
+    )
+    first = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) == 0
+    return resolved.select(F.concat(F.when(first, info).otherwise(""), head, block).alias("value"))
 
 
-def write(pages: DataFrame, path: str, min_bytes: int = MIN_BYTES, date: str = "2024-01-01T00:00:00Z") -> None:
-    """Write deduplicated gzip archives to a folder, each partition one file."""
-    records(resolve(pages, min_bytes), date).write.option("lineSep", END).option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").text(path)
+def write(pages: DataFrame, path: str, min_bytes: int = MIN_BYTES, date: str | None = None) -> None:
+    """Write deduplicated gzip archives to a folder, each partition one file; their date is now unless it is given."""
+    records(resolve(pages, min_bytes), date or datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")).write.option("lineSep", END).option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").text(path)
 
 
 class Parser:
@@ -111,6 +124,8 @@ def read(spark, path: str) -> DataFrame:
                 if path != path_now:  # pieces of a file come in order; files are not mixed
                     parser, path_now = Parser(), path
                 for head, block in parser.feed(piece.encode() + b"\r\n\r\n"):
+                    if head[b"WARC-Type"] == b"warcinfo":
+                        continue
                     kind, body = head[b"WARC-Type"].decode(), block.partition(b"\r\n\r\n")[2]
                     new = kind == "response"
                     rows.append((head[b"WARC-Record-ID"].decode(), int(head[b"X-Page-ID"]) if head[b"X-Page-ID"] else None, kind, base64.b32encode(hashlib.sha1(body).digest()).decode() if new else head[b"WARC-Payload-Digest"].decode()[5:], len(body) if new else None, None if new else head[b"WARC-Refers-To"].decode(), int(head[b"X-Refers-To-Page"]) if head.get(b"X-Refers-To-Page") else None))

@@ -1,6 +1,7 @@
 """Operators on single documents, against plain code over the same rows."""
 
 import base64
+import gzip
 import hashlib
 import math
 import re
@@ -270,6 +271,22 @@ def test_warc(spark):
     assert warc.round_trip(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_warc_files(spark, tmp_path, monkeypatch):
+    pages = spark.createDataFrame([(i, f"http://u/{i}", "x" * (i % 3)) for i in range(40)], "page_id long, url string, html string").repartition(3)
+    for limit in (warc.light.__defaults__[0], -1):  # broadcast, and shuffled
+        monkeypatch.setattr(warc.light, "__defaults__", (limit,))
+        path = tmp_path / f"w{limit}"
+        warc.write(warc.keyed(pages), str(path), date="2026-01-02T03:04:05Z")
+        seen = Counter()
+        for f in path.glob("*.gz"):
+            heads = [h for h, _ in warc.Parser().feed(gzip.decompress(f.read_bytes()))]
+            assert [h[b"WARC-Type"] == b"warcinfo" for h in heads] == [i == 0 for i in range(len(heads))]
+            ids = {h[b"WARC-Record-ID"] for h in heads}
+            assert len(ids) == len(heads) and all(h[b"WARC-Date"] == b"2026-01-02T03:04:05Z" for h in heads)
+            seen.update((h[b"WARC-Type"], h.get(b"WARC-Refers-To-Target-URI")) for h in heads[1:])
+        assert seen == {(b"response", None): 3, (b"revisit", b"http://u/0"): 13, (b"revisit", b"http://u/1"): 12, (b"revisit", b"http://u/2"): 12}
+
+
 def test_sharding(docs, rows, empty):
     got = sharding.shard(docs, 7, 16).collect()
     same([(r["doc_id"], r["size"], r["text_crc32"]) for r in got], [(i, len((t or "").encode()) + 8, zlib.crc32((t or "").encode())) for i, t in rows])
