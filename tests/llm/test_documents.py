@@ -195,11 +195,12 @@ def test_lm_learns():
 def test_lm_trains_on_whole_texts(spark):
     ranks = spark.sparkContext.broadcast(lm.load_ranks())
     encode = lm.Subwords(ranks.value)
-    cls = lm.classify(np.random.default_rng(2).random(encode.end + 1))
+    spell = lm.Spelling(np.random.default_rng(2).random(encode.end + 1), np.zeros(encode.end + 1), np.zeros(encode.end + 1), 0.0)
+    cls = spell.cls
     texts = [" ".join(f"word{i}" for i in range(3000)), "x" * 5000, "a b", None]
-    d = spark.createDataFrame([(t, False) for t in texts * 3], "text string, held_out boolean")
+    d = spark.createDataFrame([(i, i, i > 11, t) for i, t in enumerate([*texts * 3, "held out"])], f"{lm.KEY} long, doc_id long, held_out boolean, text string")
     want = Counter(tuple(cls[[*(encode(w)[0] for w in lm.words_of(t)), encode.end]]) for t in texts * 3)
-    got = [np.frombuffer(r["classes"], dtype=np.uint8) for r in lm.sequences(d, ranks, cls, ["word7", "a"]).collect()]
+    got = [np.frombuffer(r["classes"], dtype=np.uint8) for r in lm.sequences(lm.read(d, [("word7", 3), ("a", 3)], 10.0, ranks, spell)).collect()]
     assert Counter(tuple(s) for s in got) == want
     whole = lm.chunks(got)
     for size in (7, 64, 10**6):
