@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -38,6 +40,13 @@ def terms(c: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit(r"([\p{L}\p{N}_]{4,})"), F.lit(1)))
 
 
+def ascii_boundaries(pattern: str) -> str:
+    r"""The pattern with \b between word characters of ASCII and all else, as in SQL; Java's counts letters of any script."""
+    pattern = re.sub(r"(?<!\\)\\b(?=\w(?![?*{]))", r"(?<!\\w)", pattern)  # beside a word character one look is enough
+    pattern = re.sub(r"(?<=[^\\\W])(?<!\\\w)\\b", r"(?!\\w)", pattern)
+    return pattern.replace(r"\b", r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))")
+
+
 def bm25_tokens(c: Column, stopwords=()) -> Column:
     """Tokens of ASCII letters, digits and hyphens that begin with a letter; duplicates stay, stopwords go."""
     ascii_only = F.regexp_replace(F.lower(c), r"[[\p{L}\p{N}]&&[^\x00-\x7F]]", "_")
